@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import canon, lang, leaks, level, neardup, pack, similar, split
+from vellum.llm import canon, lang, leaks, level, neardup, pack, scans, similar, split, topics
 from vellum.llm.common import table
 
 
@@ -36,6 +36,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects of every scanned page: cut words, misread words, running lines and page numbers."""
+    return scans.page_defects(scans.repaired_scans(table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "books")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks that look the same but differ in code points."""
     pairs = canon.look_alike_pairs(table(spark, sf_dir, "chunks"))
@@ -44,10 +49,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the chunks and scans whose label does not name just the language they are in."""
-    chunks, scans = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "ocr_results")
+    chunks, ocr = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "ocr_results")
     model = lang.fit(chunks)
     a = lang.languages(chunks, model, "chunk_uid", "text", extra=("lang",), least_words=lang.LEAST_WORDS)
-    b = lang.languages(scans, model, "doc_id", "full_text", extra=("lang",))
+    b = lang.languages(ocr, model, "doc_id", "full_text", extra=("lang",))
     return lang.mislabelled(a, "lang", "chunk").union(lang.mislabelled(b, "lang", "ocr"))
 
 
@@ -61,6 +66,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "exam_items")).select("doc_id", "item_id")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject areas that fill at least a quarter of each document."""
+    return topics.main_areas(topics.subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_found, p8_found, p9_found)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_found, p9_found, p10_found)
 }
