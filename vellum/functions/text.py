@@ -60,21 +60,19 @@ MARKERS = (
 
 def structures(text: Column) -> Column:
     """array<struct<start_pos, ord, end_pos, kind, marker>> of every marker, overlapping ones too, by start, then by MARKERS."""
-    found = []
-    for order, (kind, pattern) in enumerate(MARKERS):
-        hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-        parts = F.split(text, pattern, -1)
-        # The i-th hit starts after the i + 1 parts and i hits before it.
-        ahead = lambda i, parts=parts, hits=hits: F.length(F.array_join(F.slice(parts, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(hits, F.lit(1), i), ""))
-        found.append(
-            F.transform(
-                hits,
-                lambda m, i, ahead=ahead, kind=kind, order=order: F.struct(
-                    ahead(i).alias("start_pos"), F.lit(order).alias("ord"), (ahead(i) + F.length(m)).alias("end_pos"), F.lit(kind).alias("kind"), m.alias("marker")
-                ),
-            )
-        )
-    return F.array_sort(F.flatten(F.array(*found)))
+    return F.array_sort(F.flatten(F.array(*[_hits(text, order, kind, pattern) for order, (kind, pattern) in enumerate(MARKERS)])))
+
+
+def _hits(text: Column, order: int, kind: str, pattern: str) -> Column:
+    """The hits of one marker: the i-th starts after the i + 1 parts and the i hits before it."""
+    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    parts = F.split(text, pattern, -1)
+
+    def one(m: Column, i: Column) -> Column:
+        start = F.length(F.array_join(F.slice(parts, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(hits, F.lit(1), i), ""))
+        return F.struct(start.alias("start_pos"), F.lit(order).alias("ord"), (start + F.length(m)).alias("end_pos"), F.lit(kind).alias("kind"), m.alias("marker"))
+
+    return F.transform(hits, one)
 
 
 def filename_stem(path: Column) -> Column:
