@@ -89,7 +89,9 @@ def signature(shingles: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> t
 
 
 def records(df: DataFrame, key: str, text: str, size: int, least_words: int) -> DataFrame:
-    """(uid, cls, shingles, first, rest, s1, s2): one row per row with enough words; cls is the hash of its set of shingles.
+    """(uid, cls, lead, shingles, first, rest, s1, s2): one row per row with enough words; cls is the hash of its set of shingles.
+
+    lead is set on the first record of a class in each batch: only those need to be searched, so that copies stay where they are.
 
     shingles holds 32 bits of each hash: two different shingles of one pair of records meet there about once in 10 ** 9 times.
     """
@@ -97,25 +99,28 @@ def records(df: DataFrame, key: str, text: str, size: int, least_words: int) ->
     def make(cols: dict[str, list]) -> dict[str, list]:
         import xxhash
 
-        out: dict[str, list] = {n: [] for n in ("uid", "cls", "shingles", "first", "rest", "s1", "s2")}
+        out: dict[str, list] = {n: [] for n in ("uid", "cls", "lead", "shingles", "first", "rest", "s1", "s2")}
+        seen: set[int] = set()
         for k, t in zip(cols["_k"], cols["_t"]):
             h = word_hashes(canonical(t))
             if len(h) < max(1, least_words):
                 continue
             s = shingle_hashes(h, size)
             first, rest, sketch = signature(s)
-            for name, v in zip(out, (k, xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), np.unique(s.astype(np.uint32)).view(np.int32), first, rest, int(sketch[0]), int(sketch[1]))):
+            cls = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+            for name, v in zip(out, (k, cls, cls not in seen, np.unique(s.astype(np.uint32)).view(np.int32), first, rest, int(sketch[0]), int(sketch[1]))):
                 out[name].append(v)
+            seen.add(cls)
         return out
 
     src = df.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")).where("_k is not null and _t <> ''")
-    return map_batches(src, make, "uid long, cls long, shingles array<int>, first array<long>, rest array<long>, s1 long, s2 long")
+    return map_batches(src, make, "uid long, cls long, lead boolean, shingles array<int>, first array<long>, rest array<long>, s1 long, s2 long")
 
 
 def candidates(recs: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: classes that are neighbours in some tree and whose sketches do not rule the similarity out."""
-    once = recs.select("cls", "s1", "s2", "first", "rest").dropDuplicates(["cls"])  # copies of one text leave one row
-    flat = once.select("cls", "s1", "s2", F.explode(F.arrays_zip("first", "rest")).alias("t")).select("cls", "s1", "s2", F.col("t.first").alias("first"), F.col("t.rest").alias("rest"))
+    flat = recs.where("lead").select("cls", "s1", "s2", F.explode(F.arrays_zip("first", "rest")).alias("t")).select("cls", "s1", "s2", F.col("t.first").alias("first"), F.col("t.rest").alias("rest"))
+    flat = flat.repartition("first").dropDuplicates(["first", "cls"])
     held = flat.withColumn("n0", F.count(F.lit(1)).over(W.partitionBy("first"))).where("n0 > 1")
     # Deeper prefixes lie within their region, so that these counts need no further exchange.
     depth = F.when(F.col("n0") <= REGION, 0)
@@ -144,7 +149,7 @@ def candidates(recs: DataFrame, similarity: float) -> DataFrame:
 def similar_classes(recs: DataFrame, similarity: float) -> DataFrame:
     """(a, b, similarity): pairs of classes (distinct sets of shingles) of at least that Jaccard similarity, each pair once."""
     pairs = candidates(recs, similarity)
-    sets = recs.select("cls", "shingles").dropDuplicates(["cls"])
+    sets = recs.where("lead").select("cls", "shingles").dropDuplicates(["cls"])
     both = pairs.join(sets.withColumnsRenamed({"cls": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"cls": "b", "shingles": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     both = both.withColumn("common", common).withColumn("similarity", F.col("common") / (F.size("sa") + F.size("sb") - F.col("common")))
