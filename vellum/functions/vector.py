@@ -16,8 +16,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """The vector at unit length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    # The norm is bound once: within the inner lambda it would be summed again for every number.
+    return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))[0]
 
 
 def squared_distance(a: Column, b: Column) -> Column:

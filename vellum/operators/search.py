@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -99,19 +100,31 @@ def ivf_lists(n: int, nlist: int = 100, nprobe: int = 32, index_type: str = "IVF
 
 def build_ivf(rows: DataFrame, key: str = "chunk_id", vector: str = "embedding", nlist: int = 100, seed: int = 42, sample: int = 50_000) -> tuple[DataFrame, list[np.ndarray]]:
     """(rows with list_id, centroids): k-means on a bounded sample, then every row goes to its nearest centroid."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     n = rows.count()
     lists, _ = ivf_lists(n, nlist)
     if lists == 1:
         return rows.withColumn("list_id", F.lit(0)), [np.zeros(len(rows.first()[vector]))]
-    from vellum.functions.vector import l2_normalize
+    chosen = rows.select(key, F.col(vector).cast("array<double>").alias("_v")).where("_v is not null and size(_v) > 0").orderBy(F.xxhash64(key)).limit(sample).collect()
+    centroids = _lloyd(_unit([r["_v"] for r in sorted(chosen, key=lambda r: r[key])], len(chosen[0]["_v"])), lists, seed)
+    known = rows.sparkSession.sparkContext.broadcast(centroids)
+
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        x, c = _unit(v.tolist(), known.value.shape[1]), known.value
+        return pd.Series(((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1).astype(np.int32), index=v.index)
+
+    return rows.withColumn("list_id", nearest(F.col(vector))), list(centroids)
+
 
-    unit = rows.withColumn("_unit", array_to_vector(l2_normalize(F.col(vector))))
-    chosen = unit.orderBy(F.xxhash64(key)).limit(sample)
-    model = KMeans(k=lists, seed=seed, featuresCol="_unit", predictionCol="list_id", maxIter=15).fit(chosen)
-    return model.transform(unit).drop("_unit"), [np.asarray(c) for c in model.clusterCenters()]
+def _lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarray:
+    """k-means on the sample; a centroid without members stays where it is."""
+    c = x[np.random.default_rng(seed).choice(len(x), k, replace=False)].copy()
+    for _ in range(rounds):
+        near = ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+        size = np.bincount(near, minlength=k)
+        total = np.stack([np.bincount(near, x[:, d], k) for d in range(x.shape[1])], axis=1)
+        c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], c)
+    return c
 
 
 def knn_ivf(
@@ -121,10 +134,18 @@ def knn_ivf(
     """As knn(), but a query meets only the rows of its nprobe nearest lists: an equi-join on list_id. With all lists it is exact."""
     from vellum.functions.vector import l2_normalize, squared_distance
 
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
-    probe = F.transform(table, lambda c, i: F.struct(squared_distance(F.col("_qv"), c).alias("d"), i.alias("list_id")))
-    asked = queries.select(F.col(q_key).cast("long").alias("q_id"), l2_normalize(F.col(q_vector)).alias("_qv"))
-    asked = asked.select("q_id", "_qv", F.explode(F.slice(F.array_sort(probe), 1, nprobe)).alias("_c")).select("q_id", "_qv", F.col("_c.list_id").alias("list_id"))
+    known = indexed.sparkSession.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = known.value
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column(1).to_pylist(), dtype=np.float64)
+                lists = ((c * c).sum(axis=1) - 2 * x @ c.T).argsort(axis=1, kind="stable")[:, :nprobe]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists.tolist(), pa.list_(pa.int32()))], names=["q_id", "_qv", "_lists"])
+
+    asked = queries.select(F.col(q_key).cast("long").alias("q_id"), l2_normalize(F.col(q_vector)).alias("_qv")).where("q_id is not null and _qv is not null")
+    asked = asked.mapInArrow(probe, "q_id long, _qv array<double>, _lists array<int>").select("q_id", "_qv", F.explode("_lists").alias("list_id"))
     met = asked.join(indexed.select(F.col(key).cast("long").alias(key), l2_normalize(F.col(vector)).alias("_v"), "list_id"), "list_id")
     if exclude_self:
         met = met.where(F.col("q_id") != F.col(key))
