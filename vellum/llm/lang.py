@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.llm.canon import canonical
@@ -271,16 +272,14 @@ def _best_path(each: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", vocabulary_path: str = VOCABULARY, sample: int = SAMPLE) -> Model:
-    """Fit the models on at most `sample` labelled records of each language, chosen by a hash of the text.
+    """Fit the models on at most `sample` labelled records of each language, of 200 to 20,000 characters, chosen by a hash of the text.
 
     Labels can be wrong: after a first fit, records that another model explains better leave the sample.
     """
     lang = named(F.col(label))
-    usable = labelled.select(F.col(text).alias("t"), lang.alias("l")).where(lang.isin(*sorted(set(NAMES.values()))) & (F.length(text) >= 200))
-    from pyspark.sql import Window as W
-
+    usable = labelled.select(F.col(text).alias("t"), lang.alias("l")).where(lang.isin(*sorted(set(NAMES.values()))) & F.length(text).between(200, 20_000))
     nth = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("t")))
-    rows = usable.select("l", F.substring("t", 1, 4000).alias("t")).withColumn("n", nth).where(F.col("n") <= sample).select("l", "t").collect()
+    rows = usable.withColumn("n", nth).where(F.col("n") <= sample).select("l", "t").collect()
     records = [(r["l"], _WORD.findall(canonical(r["t"]).lower())) for r in sorted(rows, key=lambda r: (r["l"], r["t"]))]
     return fit_records(records, vocabulary(vocabulary_path))
 

@@ -154,18 +154,21 @@ def class_number(label: Column) -> Column:
     return F.coalesce(roman[plain], plain.try_cast("int"))
 
 
-def reading_levels(df: DataFrame, grader: Grader, languages: Model, key: str = "chunk_uid", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(item_id, n_words, n_sentences, grade, score, level): one row per row with an English-only text of at least least_words words.
+def reading_levels(
+    df: DataFrame, grader: Grader, languages: Model, key: str = "chunk_uid", text: str = "text", extra: tuple[str, ...] = (), least_words: int = LEAST_WORDS
+) -> DataFrame:
+    """(item_id, n_words, n_sentences, grade, score, level, *extra): one row per row with an English-only text of at least least_words words.
 
     grade is the median of the published formulas, score runs from 0 (primary) to 2 (secondary). NULL, empty and shorter texts and
     those in which another language fills more than FOREIGN give no row.
     """
     known = df.sparkSession.sparkContext.broadcast((grader, languages))
+    names = ("item_id", "n_words", "n_sentences", "grade", "score", "level")
 
     def grade(cols: dict[str, list]) -> dict[str, list]:
         g, model = known.value
-        out: dict[str, list] = {n: [] for n in ("item_id", "n_words", "n_sentences", "grade", "score", "level")}
-        for k, t in zip(cols["_k"], cols["_t"]):
+        out: dict[str, list] = {n: [] for n in (*names, *extra)}
+        for row, (k, t) in enumerate(zip(cols["_k"], cols["_t"])):
             n = len(words(t))
             if n < least_words:
                 continue
@@ -175,18 +178,21 @@ def reading_levels(df: DataFrame, grader: Grader, languages: Model, key: str = "
                 continue
             s = sentences(form)
             score = g.score(s)
-            for name, v in zip(out, (k, n, len(s), published(s.sum(axis=0), max(1, len(s))), score, g.level(score))):
+            for name, v in zip(names, (k, n, len(s), published(s.sum(axis=0), max(1, len(s))), score, g.level(score))):
                 out[name].append(v)
+            for e in extra:
+                out[e].append(cols[e][row])
         return out
 
-    src = df.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")).where("_k is not null and _t <> ''")
-    return map_batches(src, grade, "item_id long, n_words long, n_sentences long, grade double, score double, level string")
+    kinds = dict(df.dtypes)
+    src = df.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t"), *extra).where("_k is not null and _t <> ''")
+    schema = "item_id long, n_words long, n_sentences long, grade double, score double, level string" + "".join(f", {e} {kinds[e]}" for e in extra)
+    return map_batches(src, grade, schema)
 
 
 def misplaced(chunks: DataFrame, grader: Grader, languages: Model) -> DataFrame:
-    """(chunk_uid): chunks of class 5 or 6 that read as secondary, and of class 9 or 10 that read as primary."""
-    out = None
-    for classes, level in (((5, 6), "secondary"), ((9, 10), "primary")):
-        found = reading_levels(chunks.where(class_number(F.col("class")).isin(*classes)), grader, languages).where(F.col("level") == level).select(F.col("item_id").alias("chunk_uid"))
-        out = found if out is None else out.union(found)
-    return out.distinct()
+    """(chunk_uid): chunks of class 5 or 6 that read as secondary, and of class 9 or 10 that read as primary. Class NULL never counts."""
+    shelved = chunks.select("chunk_uid", "text", class_number(F.col("class")).alias("shelf")).where(F.col("shelf").isin(5, 6, 9, 10))
+    read = reading_levels(shelved, grader, languages, extra=("shelf",))
+    wrong = (F.col("shelf").isin(5, 6) & (F.col("level") == "secondary")) | (F.col("shelf").isin(9, 10) & (F.col("level") == "primary"))
+    return read.where(wrong).select(F.col("item_id").alias("chunk_uid")).distinct()

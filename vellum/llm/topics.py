@@ -24,7 +24,7 @@ SUBJECTS = {"scie": (0,), "math": (1,), "engl": (5,), "phys": (6,), "comp": (7,)
 #: A term's share of documents at least, documents at least, lift of its leading subject and standard deviations beyond chance.
 TERM_SHARE, TERM_DOCS, LIFT, SIGMA = 1e-4, 5, 1.8, 4.0
 #: Judged documents used at most, passes over all documents, prior of a document's topics, weight of the start against the documents.
-SAMPLE, PASSES, ALPHA, PRIOR = 6000, 3, 0.05, 0.5
+SAMPLE, PASSES, ALPHA, PRIOR = 50_000, 3, 0.05, 0.5
 #: Rounds over one document's topics, share of the text with an area that an area must fill, and of all the text.
 ROUNDS, LEAST_SHARE, LEAST_TEXT = 20, 0.25, 0.125
 
@@ -76,16 +76,25 @@ def terms(table: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def judged(docs: DataFrame, labels: DataFrame, key: str, text: str, index: dict[str, int], sample: int = SAMPLE) -> np.ndarray:
-    """(areas, terms): occurrences of terms in at most `sample` judged documents, chosen by a hash of the key."""
-    areas = F.create_map(*[F.lit(x) for i, a in enumerate(AREAS) for x in (a, i)])
-    named = labels.select(F.col("doc_id").alias("_j"), areas[F.lower(F.trim("subject_area"))].alias("a")).where("a is not null")
+    """(areas, terms): occurrences of terms in at most `sample` judged documents, chosen by a hash of the key. Only the sums come to the driver."""
+    numbers = F.create_map(*[F.lit(x) for i, a in enumerate(AREAS) for x in (a, i)])
+    named = labels.select(F.col("doc_id").alias("_j"), numbers[F.lower(F.trim("subject_area"))].alias("a")).where("a is not null")
     chosen = named.groupBy("_j").agg(F.collect_set("a").alias("a")).orderBy(F.xxhash64("_j")).limit(sample)
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), F.col("_k") == F.col("_j")).select("_t", "a").collect()
+    known = docs.sparkSession.sparkContext.broadcast(index)
+
+    def count(cols: dict[str, list]) -> dict[str, list]:
+        sums: dict[tuple[int, int], float] = {}
+        for t, areas in zip(cols["_t"], cols["a"]):
+            for w in words(t):
+                if (i := known.value.get(w)) is not None:
+                    for a in areas:
+                        sums[a, i] = sums.get((a, i), 0.0) + 1 / len(areas)
+        return {"area": [a for a, _ in sums], "term": [i for _, i in sums], "n": list(sums.values())}
+
+    source = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t <> ''").join(F.broadcast(chosen), F.col("_k") == F.col("_j")).select("_t", "a")
     out = np.zeros((len(AREAS), len(index)))
-    for r in rows:
-        for w in words(r["_t"] or ""):
-            if (i := index.get(w)) is not None:
-                out[r["a"], i] += 1 / len(r["a"])
+    for r in map_batches(source, count, "area int, term int, n double").groupBy("area", "term").agg(F.sum("n").alias("n")).collect():
+        out[r["area"], r["term"]] = r["n"]
     return out
 
 
