@@ -173,7 +173,7 @@ def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
 @query
 def index_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each partition of the index."""
-    c = _chunks(spark, d, "filename").join(F.broadcast(_t(spark, d, "books").select("filename", "class", "subject", "lang")), "filename")
+    c = _chunks(spark, d, "filename").join(_t(spark, d, "books").select("filename", "class", "subject", "lang"), "filename")
     return c.groupBy("class", T.subject_slug(F.col("subject")).alias("subject_slug"), "lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("filename").alias("files"))
 
 
@@ -232,7 +232,7 @@ def _rounded(hits: DataFrame) -> DataFrame:
 def chunk_search(spark: SparkSession, d: str) -> DataFrame:
     """Chunks whose key 20 divides ask all chunks of their language."""
     c = _t(spark, d, "chunks").where("embedding_dim = 64").select("chunk_uid", "filename", "embedding").dropDuplicates(["chunk_uid"])
-    c = c.join(F.broadcast(_t(spark, d, "books").select("filename", "lang")), "filename")
+    c = c.join(_t(spark, d, "books").select("filename", "lang"), "filename")
     q = c.where(F.col("chunk_uid") % 20 == 0).withColumnRenamed("chunk_uid", "q_id")
     hits = knn(c, q, k=5, key="chunk_uid", exclude_self=True, partition=("lang",))
     return hits.select("q_id", "rank", F.round("distance", 4).alias("distance"))
@@ -417,7 +417,7 @@ def eval_passed(spark: SparkSession, d: str) -> DataFrame:
 @query
 def answer_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Chunks whose key 20 divides ask all others of their language; gates, answer and citation."""
-    books = F.broadcast(_t(spark, d, "books").select("filename", F.col("class").cast("string").alias("b_class"), F.col("subject").alias("b_subject"), F.col("lang").alias("b_lang")))
+    books = _t(spark, d, "books").select("filename", F.col("class").cast("string").alias("b_class"), F.col("subject").alias("b_subject"), F.col("lang").alias("b_lang"))
     c = _t(spark, d, "chunks").where("embedding_dim = 64").select("chunk_uid", "filename", "text", "chapter", "page_numbers", "primary_page", "embedding").dropDuplicates(["chunk_uid"])
     c = c.join(books, "filename").select(
         F.col("chunk_uid").alias("chunk_id"), "filename", "text", F.col("b_class").alias("class"), F.col("b_subject").alias("subject"), F.col("b_lang").alias("lang"), "chapter",
