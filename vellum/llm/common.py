@@ -10,15 +10,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch. Texts may be long, so that a batch of the default 10,000 rows could fill a worker.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch. Texts may be long, so that a batch of the default 10,000 rows could fill a worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 _DROP = regex.compile(r"[\p{P}\p{S}‌]+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the test data; also sets the session's Arrow batch size to BATCH_ROWS."""
+    """A table of the test data; also bounds the session's Arrow batches by BATCH_ROWS and BATCH_BYTES."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

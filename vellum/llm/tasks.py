@@ -71,6 +71,78 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.main_areas(topics.subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels")))
 
 
+# The operators' own results, of which the queries above keep what they are asked for.
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The up to 5 most similar other chunks of every chunk, of a cosine of at least 0.85."""
+    found = similar.similar_vectors(table(spark, sf_dir, "chunks"), "chunk_uid", "embedding", k=5, least=0.85, dim=64, dim_column="embedding_dim")
+    return found.select(F.col("uid").alias("chunk_uid"), "other", "rank", F.round("cosine", 6).alias("cosine"))
+
+
+def p2_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading level of every English chunk against its class."""
+    chunks = table(spark, sf_dir, "chunks")
+    shelved = chunks.select("chunk_uid", "text", level.class_number(F.col("class")).alias("shelf"))
+    return level.reading_levels(shelved, level.fit(chunks, table(spark, sf_dir, "level_labels")), lang.fit(chunks), extra=("shelf",)).distinct()
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every chunk and cleaned text above the limit, by position."""
+    cleaned = split.split_oversized(table(spark, sf_dir, "cleaned_documents"), "doc_id", "cleaned_text").withColumn("src", F.lit("cleaned"))
+    chunks = split.split_oversized(table(spark, sf_dir, "chunks"), "chunk_uid", "text").withColumn("src", F.lit("chunk"))
+    piece = cleaned.union(chunks).distinct().select("src", "item_id", F.posexplode("pieces").alias("piece", "p"))
+    return piece.select("src", "item_id", "piece", "p.start_pos", "p.end_pos", "p.boundary")
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every chunk: five words, a similarity of 0.8."""
+    found = neardup.near_duplicate_groups(table(spark, sf_dir, "chunks"))
+    return found.select(F.col("uid").alias("chunk_uid"), F.col("cls").alias("class_id"), "group_id", "links")
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired text of every scan."""
+    repaired = scans.repaired_scans(table(spark, sf_dir, "ocr_results"), table(spark, sf_dir, "books"))
+    return repaired.select(F.col("item_id").alias("doc_id"), "full_text").distinct()
+
+
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every chunk's text."""
+    return canon.with_canonical(table(spark, sf_dir, "chunks").select("chunk_uid", "text")).select("chunk_uid", "canonical_text").distinct()
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of one language in the chunks and scans, with its confidence."""
+    chunks, ocr = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "ocr_results")
+    model = lang.fit(chunks)
+    a = lang.languages(chunks, model, "chunk_uid", "text").withColumn("src", F.lit("chunk"))
+    b = lang.languages(ocr, model, "doc_id", "full_text").withColumn("src", F.lit("ocr"))
+    span = a.union(b).select("src", "item_id", F.explode("spans").alias("s"))
+    return span.select("src", "item_id", "s.lang", "s.start_pos", "s.end_pos", F.round("s.confidence", 6).alias("confidence")).distinct()
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document or piece of one."""
+    return pack.fill_containers(table(spark, sf_dir, "documents"))
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaked test item with its share, edit distance and place."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "exam_items"))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of every area in every document."""
+    found = topics.subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"))
+    row = found.select("doc_id", F.explode("areas").alias("a"))
+    return row.select("doc_id", "a.area", F.round("a.share", 6).alias("share"), F.round("a.of_text", 6).alias("of_text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_found, p9_found, p10_found)
-}
+    f.__name__: f
+    for f in (
+        p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_found, p9_found, p10_found,
+        p1_neighbours, p2_levels, p3_pieces, p4_groups, p5_paragraphs, p6_forms, p7_spans, p8_containers, p9_leaks, p10_shares,
+    )
+}
