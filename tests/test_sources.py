@@ -5,7 +5,9 @@ import datetime
 import pytest
 
 import __spark_entry__
+from vellum.__main__ import main
 from vellum.config import Settings
+from vellum.plans.answering import model_answers, prompts
 from vellum.plans.ingest import clean_documents, ingest
 from vellum.sources.catalog import catalog, scan_catalog
 from vellum.sources.documents import TextPages, read_documents
@@ -94,3 +96,35 @@ def test_ingest(spark):
 def test_entry_names():
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and len(q) > 40
+
+
+def test_model_answers(spark):
+    class Echo:
+        def complete(self, system, user, temperature, max_tokens):
+            return [ValueError("no") if "fail" in u else "Told [Source 1]." for u in user]
+
+    class Down:
+        def complete(self, system, user, temperature, max_tokens):
+            raise OSError("unreachable")
+
+    answered = spark.createDataFrame([(1, "success", "x", 0.9, "retrieval_only"), (2, "success", "y", 0.9, "retrieval_only"), (3, "rejected", None, None, None)], "q_id long, status string, answer string, grounding_score double, mode string")
+    hits = spark.createDataFrame([(q, r, "3", "7", f"Sentence {r} of a text that is long enough.") for q in (1, 2, 3) for r in (2, 1)], "q_id long, rank int, chapter string, page string, text string")
+    questions = spark.createDataFrame([(1, "what?", "en"), (2, "fail?", "hi"), (3, "z", "en")], "q_id long, question string, lang string")
+    asked = prompts(questions, hits)
+    first = asked.where("q_id = 1").first()
+    assert first["user"].index("[Source 1] Chapter: 3, Page: 7\nSentence 1") < first["user"].index("[Source 2]") and "what?" in first["user"]
+    out = {r["q_id"]: r for r in model_answers(answered, asked, Echo(), Settings(use_llm=True)).collect()}
+    assert out[1]["mode"] == "llm" and out[1]["answer"].startswith("Told [Source 1].\n\n====") and "[1] Sentence 1" in out[1]["answer"]
+    assert (out[2]["mode"], out[2]["answer"]) == ("extractive_fallback", "y") and out[3]["mode"] is None
+    assert {r["mode"] for r in model_answers(answered, asked, Down(), Settings(use_llm=True)).collect()} == {"extractive_fallback", None}
+    assert model_answers(answered, asked, Echo(), Settings()) is answered
+
+
+def test_command_line(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "jesc101.pdf").write_text("Chapter 1 A lesson that is long enough to be kept as a chunk of text.")
+    assert main(["ingest", str(docs), str(tmp_path / "ix"), "--subject", "Science"]) == 0
+    row = spark.read.parquet(str(tmp_path / "ix")).first()
+    assert row["subject_slug"] == "science" and row["embedding_dim"] == 384
+    assert main(["catalog", str(tmp_path)]) == 0

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.config import Settings
-from vellum.functions.answer import citation_chapter, extractive_answer, file_subject, grounding_score, page_range
+from vellum.functions.answer import (
+    citation_chapter, complete_answer, context, extractive_answer, file_subject, grounding_score, page_range, system_prompt, textbook_extract, user_prompt,
+)
 from vellum.operators.gates import GATES, apply_gates, citation_gate, grounding_gate, retrieval_summary, subject_mismatch
 from vellum.operators.search import knn
 
@@ -46,3 +52,47 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, settings: Settings
         F.col("stage").alias("reason"), "rejection_type", F.col("hits").alias("retrieved_chunks"), F.col("avg_score").alias("avg_retrieval_score"),
         F.when(F.col("passed"), "retrieval_only").alias("mode"),
     )
+
+
+class AnswerModel(Protocol):
+    """A language model behind a batch call; an Exception in place of a text fails that question only."""
+
+    def complete(self, system: list[str], user: list[str], temperature: float, max_tokens: int) -> list[str | Exception]: ...
+
+
+def prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """(q_id, system, user, extract, q_lang): prompts over the five best hits (q_id, rank, chapter, page, text) of each question (q_id, question, lang)."""
+    ranked = hits.where("rank <= 5").groupBy("q_id").agg(F.collect_list(F.struct("rank", "chapter", "page", "text")).alias("_r"))
+    lang = F.col("lang")
+    df = questions.select("q_id", "question", "lang").join(ranked, "q_id")
+    return df.select("q_id", system_prompt(lang).alias("system"), user_prompt(context(F.col("_r")), F.col("question"), lang).alias("user"), textbook_extract(F.col("_r")).alias("extract"), lang.alias("q_lang"))
+
+
+def model_answers(answered: DataFrame, asked: DataFrame, model: AnswerModel | None, settings: Settings | None = None) -> DataFrame:
+    """answered with the model's answers in place of extractive ones, where a model is there, in use, and does not fail.
+
+    Only questions that passed every gate reach the model. mode tells which way each answer came: llm, extractive_fallback (the model
+    failed) or retrieval_only (no model).
+    """
+    s = settings or Settings()
+    if model is None or not s.use_llm:
+        return answered
+    schema = "q_id long, _text string, extract string, q_lang string"
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            try:
+                got = model.complete(b["system"].tolist(), b["user"].tolist(), s.llm_temperature, s.llm_max_tokens)
+            except Exception as e:  # noqa: BLE001
+                got = [e] * len(b)
+            yield pd.DataFrame({"q_id": b["q_id"], "_text": [None if isinstance(x, Exception) else x for x in got], "extract": b["extract"], "q_lang": b["q_lang"]})
+
+    passed = answered.where("status = 'success'").select("q_id")
+    told = asked.join(passed, "q_id", "left_semi").select("q_id", "system", "user", "extract", "q_lang").mapInPandas(call, schema)
+    told = told.select("q_id", "_text", complete_answer(F.col("_text"), F.col("extract"), F.col("q_lang")).alias("_whole"), F.lit(True).alias("_asked"))
+    out = answered.join(told, "q_id", "left")
+    return out.withColumns({
+        "answer": F.coalesce("_whole", "answer"),
+        "grounding_score": F.when(F.col("_text").isNotNull(), grounding_score(F.col("_text"), F.lit(1))).otherwise(F.col("grounding_score")),
+        "mode": F.when(F.col("_text").isNotNull(), "llm").when(F.col("_asked"), "extractive_fallback").otherwise(F.col("mode")),
+    }).drop("_text", "_whole", "_asked")

@@ -20,7 +20,7 @@ from vellum.operators.encode import HashingEncoder, encode
 from vellum.operators.search import build_ivf, knn, knn_ivf
 from vellum.plans.answering import answer_questions
 from vellum.plans.ingest import page_columns
-from vellum.sources.catalog import class_of_folder, subject_of_folder
+from vellum.sources.catalog import class_of_folder, subject_of_folder, subjects
 from vellum.sources.documents import join_pages
 from vellum.sources.stages import normalized_feedback
 from vellum.streaming.feedback import windowed_outcomes
@@ -373,6 +373,24 @@ def feedback_windows(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "status", "n", "helpful")
 
 
+@query
+def response_validation(spark: SparkSession, d: str) -> DataFrame:
+    """B11, over feedback as responses."""
+    f = _t(spark, d, "feedback").select("feedback_id", "answer", "metadata").distinct()
+    cited = F.when(F.col("metadata.grounding_score").isNotNull(), 1)
+    error = G.valid_response(F.col("metadata.status"), F.col("answer"), cited, F.col("metadata.rejection_type"))
+    return f.select("feedback_id", error.alias("error"))
+
+
+@query
+def subjects_on_offer(spark: SparkSession, d: str) -> DataFrame:
+    """Books of a class whose subject is on offer there."""
+    b = _t(spark, d, "books").select("filename", "class", F.lower("subject").alias("s"))
+    offer = subjects(spark).select(F.col("class").alias("c"), F.lower("subject").alias("o"))
+    hit = b.join(offer, (b["class"] == offer["c"]) & (b["s"] == offer["o"]), "left")
+    return hit.select("filename", "class", F.col("o").isNotNull().alias("on_offer"))
+
+
 # --- evaluation
 
 

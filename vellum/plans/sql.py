@@ -6,6 +6,7 @@ from vellum.functions.answer import FILE_SUBJECTS, FOLLOW_UPS, HEADERS, REJECTIO
 from vellum.functions.enrich import CONTENT_TYPES, STOPWORDS
 from vellum.functions.text import MARKERS
 from vellum.operators.gates import PREFIXES
+from vellum.sources.catalog import SUBJECTS
 
 WS = r"[\s\p{Z}\x{85}\x{1C}-\x{1F}\x{0B}]"
 
@@ -236,6 +237,10 @@ ORACLE: dict[str, str] = {
         WHEN coalesce(s, '') = '' THEN 'Subject selection is required' WHEN l IS NULL OR l NOT IN ('en', 'hi') THEN 'Language selection is required' END error,
         CASE t {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in REJECTIONS.items())} ELSE 'Your question could not be answered from the available textbook content.' END message
       FROM (SELECT DISTINCT feedback_id, question, regexp_extract(metadata.class, '([0-9]+)', 1) k, metadata.subject s, metadata.lang l, metadata.rejection_type t FROM feedback)""",
+    "response_validation": """SELECT feedback_id, CASE WHEN s = 'success' AND coalesce(answer, '') = '' THEN 'Invalid answer format' WHEN s = 'success' AND g IS NULL THEN 'Invalid citations format'
+        WHEN s = 'rejected' AND coalesce(t, '') = '' THEN 'Invalid rejection reason format' WHEN s IS NULL OR s NOT IN ('success', 'rejected') THEN 'Invalid response status' END error
+      FROM (SELECT DISTINCT feedback_id, answer, metadata, metadata.status s, metadata.grounding_score g, metadata.rejection_type t FROM feedback)""",
+    "subjects_on_offer": f"""SELECT filename, class, EXISTS (SELECT 1 FROM (VALUES {', '.join(f"({c}, '{s.lower()}')" for c, names in SUBJECTS.items() for s in names)}) o(c, s) WHERE o.c = class AND o.s = lower(subject)) on_offer FROM books""",
     "feedback_log": """SELECT DISTINCT feedback_id, coalesce(nullif(answer, ''), 'REJECTED') answer, coalesce(trim(remark), '') remark, nullif(metadata.rejection_type, '') rejection_type,
         nullif(metadata.grounding_score, 0.0) grounding_score FROM feedback""",
     "feedback_windows": f"""SELECT strftime(asked_at::TIMESTAMP, '%Y-%m-%d') "day", coalesce(metadata.status, 'unknown') status,

@@ -24,6 +24,22 @@ def subject_of_folder(name: Column) -> Column:
     return F.when(F.size(parts) >= 2, F.struct(F.initcap(F.trim(F.element_at(parts, 1))).alias("subject"), language.alias("language"), code.alias("lang_code")))
 
 
+# Subjects on offer by class.
+SUBJECTS = {
+    5: ("Mathematics", "English", "Hindi", "Environmental Studies"),
+    6: ("Mathematics", "Science", "English", "Hindi", "Social Science"),
+    7: ("Mathematics", "Science", "English", "Hindi", "Social Science"),
+    8: ("Mathematics", "Science", "English", "Hindi", "Social Science"),
+    9: ("Mathematics", "Science", "English", "Hindi", "Social Science"),
+    10: ("Mathematics", "Science", "English", "Hindi", "Social Science", "Health and Physical Science"),
+}
+
+
+def subjects(spark: SparkSession) -> DataFrame:
+    """(class, subject): the subjects on offer, for lookups by class."""
+    return spark.createDataFrame([(c, s) for c, names in SUBJECTS.items() for s in names], "class int, subject string")
+
+
 def catalog(paths: DataFrame, path: str = "path") -> DataFrame:
     """(class, subject, language, lang_code, pdf_count) from file paths .../class folder/subject folder/file.pdf."""
     parts = F.split(F.col(path), "/")
