@@ -197,7 +197,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     share is an area's part of the sentences that have one, of_text its part of the whole text. NULL, empty and blank texts give no
     row; a text without any term has no area. Rows that repeat are documents of their own.
     """
-    names, by_subject = terms(term_table(docs, text, subject))
+    names, by_subject = terms(stored(term_table(docs, text, subject), "words"))
     schema = "doc_id long, areas array<struct<area: string, share: double, of_text: double>>"
     if not names:
         return docs.sparkSession.createDataFrame([], schema)
