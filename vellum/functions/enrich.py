@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Content types with what tells them, the first that matches wins.
@@ -43,25 +44,28 @@ def plain_words(text: Column) -> Column:
     return F.filter(runs, lambda w: w.rlike("^[a-z]{3,}$"))
 
 
-def keywords(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
-    """(key, keywords): the n most frequent plain words of each text but STOPWORDS, the one that stands first before others as frequent.
-
-    Counting is one aggregation by key and word; texts without a keyword get an empty array, NULL keys are left out.
-    """
-    every = df.select(F.col(key).alias("_k"), plain_words(F.coalesce(F.col(text), F.lit(""))).alias("_w")).where("_k is not null")
-    word = every.select("_k", F.posexplode("_w").alias("_pos", "_word")).where(~F.col("_word").isin(*STOPWORDS))
-    counted = word.groupBy("_k", "_word").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
-    nth = F.row_number().over(W.partitionBy("_k").orderBy(F.desc("_n"), "_first"))
-    top = counted.withColumn("_r", nth).where(F.col("_r") <= n).groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_r", "_word"))).alias("_t"))
-    none = F.array().cast("array<string>")
-    return every.select("_k").distinct().join(top, "_k", "left").select(F.col("_k").alias(key), F.coalesce(F.col("_t._word"), none).alias("keywords"))
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often its lambdas read it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def keyword_array(text: Column, n: int = 5) -> Column:
-    """The same keywords as keywords(), row by row: for texts bounded in length, where no shuffle is wanted."""
+    """The n most frequent plain words of a text but STOPWORDS, the one that stands first before others as frequent; [] where there is none.
+
+    Words are sorted, equal neighbours counted, and the counts sorted: no shuffle, and no word is compared with all others.
+    """
     words = F.filter(plain_words(F.coalesce(text, F.lit(""))), lambda w: ~w.isin(*STOPWORDS))
-    ranked = F.transform(
-        F.array_distinct(words),
-        lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), F.array_position(words, w).alias("first"), w.alias("word")),
-    )
-    return F.slice(F.transform(F.array_sort(ranked), lambda s: s["word"]), 1, n)
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("first"))))
+
+    def ranked(s: Column) -> Column:
+        numbered = F.transform(s, lambda x, k: F.struct(x["word"].alias("word"), x["first"].alias("first"), k.alias("k")))
+        heads = F.filter(numbered, lambda x: (x["k"] == 0) | (F.get(s, x["k"] - 1)["word"] != x["word"]))
+        count = lambda h, x, j: F.struct((x["k"] - F.coalesce(F.get(h, j + 1)["k"], F.size(s))).alias("n"), x["first"].alias("first"), x["word"].alias("word"))
+        return _bind(heads, lambda h: F.array_sort(F.transform(h, lambda x, j: count(h, x, j))))
+
+    return F.slice(F.transform(_bind(placed, ranked), lambda x: x["word"]), 1, n)
+
+
+def keywords(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
+    """(key, keywords): keyword_array() of each row; NULL keys are left out."""
+    return df.where(F.col(key).isNotNull()).select(key, keyword_array(F.col(text), n).alias("keywords"))
