@@ -324,7 +324,7 @@ def languages(df: DataFrame, model: Model, key: str, text: str, extra: tuple[str
     def assign(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"item_id": [], "n_chars": [], "parts": [], "spans": []} | {e: [] for e in extra}
         for row, (k, t) in enumerate(zip(cols["_k"], cols["_t"])):
-            if least_words and len(t.split()) < 4 * least_words and len(words(t)) < least_words:
+            if least_words and len(words(t)) < least_words:
                 continue
             form = canonical(t)
             spans = identify(form, known.value)

@@ -98,18 +98,34 @@ def judged(docs: DataFrame, labels: DataFrame, key: str, text: str, index: dict[
     return out
 
 
+class _Ids(dict):
+    """The term of each blank-separated token met, -1 where it is none."""
+
+    def __init__(self, index: dict[str, int]) -> None:
+        self.index = index
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        found = self[token] = next((i for w in words(token) if (i := self.index.get(w)) is not None), -1)
+        return found
+
+
 def encoded(docs: DataFrame, key: str, text: str, index: dict[str, int]) -> DataFrame:
     """(doc_id, chars, sizes, ids): characters and number of terms of each sentence, and the terms of all sentences in order."""
     known = docs.sparkSession.sparkContext.broadcast(index)
+    met: list[_Ids] = []
 
     def encode(cols: dict[str, list]) -> dict[str, list]:
-        vocabulary = known.value
+        if not met:
+            met.append(_Ids(known.value))
+        term = met[0].__getitem__
         out: dict[str, list] = {"doc_id": [], "chars": [], "sizes": [], "ids": []}
         for k, t in zip(cols["_k"], cols["_t"]):
             chars, sizes, ids = [], [], []
             for s in _SENTENCE.split(t):
                 if s.strip():
-                    mine = [i for w in words(s) if (i := vocabulary.get(w)) is not None]
+                    mine = [i for i in map(term, s.split()) if i >= 0]
                     chars.append(len(s))
                     sizes.append(len(mine))
                     ids += mine
