@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.text import bind
+
 # Content types with what tells them, the first that matches wins.
 CONTENT_TYPES = (
     ("definition", r"(definition|defined as|is called|is known as)[:.]"),
@@ -44,11 +44,6 @@ def plain_words(text: Column) -> Column:
     return F.filter(runs, lambda w: w.rlike("^[a-z]{3,}$"))
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once, however often its lambdas read it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def keyword_array(text: Column, n: int = 5) -> Column:
     """The n most frequent plain words of a text but STOPWORDS, the one that stands first before others as frequent; [] where there is none.
 
@@ -61,9 +56,9 @@ def keyword_array(text: Column, n: int = 5) -> Column:
         numbered = F.transform(s, lambda x, k: F.struct(x["word"].alias("word"), x["first"].alias("first"), k.alias("k")))
         heads = F.filter(numbered, lambda x: (x["k"] == 0) | (F.get(s, x["k"] - 1)["word"] != x["word"]))
         count = lambda h, x, j: F.struct((x["k"] - F.coalesce(F.get(h, j + 1)["k"], F.size(s))).alias("n"), x["first"].alias("first"), x["word"].alias("word"))
-        return _bind(heads, lambda h: F.array_sort(F.transform(h, lambda x, j: count(h, x, j))))
+        return bind(heads, lambda h: F.array_sort(F.transform(h, lambda x, j: count(h, x, j))))
 
-    return F.slice(F.transform(_bind(placed, ranked), lambda x: x["word"]), 1, n)
+    return F.slice(F.transform(bind(placed, ranked), lambda x: x["word"]), 1, n)
 
 
 def keywords(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:

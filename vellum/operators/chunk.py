@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.functions.text import strip
+from vellum.functions.text import bind, strip
 
 LEAST_STRUCTURE = 50
 
@@ -25,10 +25,10 @@ def token_spans(text: Column, chunk_size: int = 500, chunk_overlap: int = 50) ->
     def step(acc: Column, _: Column) -> Column:
         s, full = acc["s"], acc["s"] + size
         window = F.reverse(F.substring(text, F.greatest(full - overlap, s) + 1, F.lit(overlap)))
-        at = [F.when(F.instr(window, p) > 0, overlap - F.instr(window, p) - 1) for p in (" .", "\n.", "\n?", "\n!")]
-        found = F.greatest(*[F.coalesce(a, F.lit(-1)) for a in at])
-        end = F.when((full < n) & (found >= 0), full - overlap + found + 1).otherwise(full)
-        after = F.struct(F.when(end < n, end - overlap).otherwise(n).alias("s"), F.concat(acc["out"], F.array(F.struct(s.alias("start_pos"), end.alias("end_pos")))).alias("out"))
+        last = lambda w: F.greatest(*[F.when(F.instr(w, p) > 0, overlap - F.instr(w, p) - 1).otherwise(-1) for p in (" .", "\n.", "\n?", "\n!")])
+        end = bind(bind(window, last), lambda at: F.when((full < n) & (at >= 0), full - overlap + at + 1).otherwise(full))
+        grown = lambda e: F.concat(acc["out"], F.array(F.struct(s.alias("start_pos"), e.alias("end_pos"))))
+        after = bind(end, lambda e: F.struct(F.when(e < n, e - overlap).otherwise(n).alias("s"), grown(e).alias("out")))
         return F.when(s < n, after).otherwise(acc)
 
     empty = F.from_json(F.lit("[]"), "array<struct<start_pos: int, end_pos: int>>")
