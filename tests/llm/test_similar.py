@@ -68,3 +68,27 @@ def test_beam_is_no_worse_than_greedy_and_scores_are_cosines():
     s = q.scores(q.tables(x[:5]), wide, norms)
     d = q.decode(wide)
     assert np.allclose(s, (d / np.linalg.norm(d, axis=1, keepdims=True)) @ x[:5].T, atol=1e-4)
+
+
+def test_a_dense_group_of_a_third_is_found_whole(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = data(1200, 5)
+    x[:400] = rng.normal(size=64) + rng.normal(scale=0.3, size=(400, 64))
+    x = x.astype(np.float32).astype(np.float64)
+    ids = list(range(len(x)))
+    monkeypatch.setattr(similar, "SPAN", 500)  # several blocks
+    for k, least in ((5, 0.85), (3, None)):
+        got = {(r["uid"], r["other"]) for r in similar.similar_vectors(frame(spark, ids, x), "chunk_uid", "embedding", k, least).collect()}
+        want = brute(ids, x, k, -1 if least is None else least)
+        assert len(want & got) >= 0.999 * len(want) and len(got) <= 1.001 * len(want) and len(want) > 2000
+
+
+def test_cells_ruled_out_lose_nothing():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 64))
+    x = np.repeat(centres, 30, axis=0) + rng.normal(scale=0.2, size=(1200, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids, cells = np.arange(1200), np.repeat(np.arange(40), 30)
+    a, b, _ = similar.meet_exactly(ids, x, np.full(1200, 0.9), ids, x, cells, np.full(1200, 0.9), 5)
+    want = {(min(p), max(p)) for p in brute(ids.tolist(), x.astype(np.float64), 5, 0.9)}
+    assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} >= want and len(want) > 1000

@@ -1,8 +1,13 @@
-"""Most similar vectors for every vector: cells and codes by additive quantisation, lookup-table scores, then exact cosines."""
+"""Most similar vectors for every vector: cells and codes by additive quantisation, lookup-table scores, then exact cosines.
+
+The codes only propose: the k-th cosine they find (or the least one asked for) is a floor. Blocks of vectors then meet exactly, without
+the cells that a bound from their radius rules out, so that nothing depends on how many cells are looked into or candidates kept.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +24,12 @@ SAMPLE, CELLS, BOOKS, PROBES = 20_000, 1024, 5, 8
 CELL_SIZE, BLOCK = 2000, 4000
 #: Candidates kept by lookup score for each query and block, and what rounding a query to bytes may change a cosine by.
 KEPT, ROUNDING = 32, 0.02
+#: Vectors of a block in the exact meeting, at least and at most, blocks wished for between the two, and vectors met by one product.
+SPAN, WIDEST, SPANS, TILE = 4096, 65_536, 12, 2048
+#: More than products of 32-bit numbers change a cosine by.
+SLACK = 1e-5
+#: Share of a block's pairs not ruled out from which cells are no longer met one by one.
+DENSE = 0.25
 
 
 def usable(df: DataFrame, key: str, vector: str, dim_column: str | None, dim: int) -> DataFrame:
@@ -111,6 +122,122 @@ def _meet(q: AdditiveQuantizer, least: float | None, k: int):  # noqa: ANN202
     return lambda _, items, queries: meet(items, queries)
 
 
+def _blocks(vectors: DataFrame, n: int, floor: float) -> DataFrame:
+    """(block, uids, units, cells, floors): vectors of neighbouring cells packed to a row, named by its first key; no floor is below `floor`."""
+    span = min(WIDEST, max(SPAN, math.ceil(n / SPANS)))
+
+    def row(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        uid, cell = t["uid"].to_numpy(), t["cell"].to_numpy().astype(np.int32)
+        unit = np.frombuffer(b"".join(t["unit"].to_pylist()), dtype=np.float32).reshape(len(uid), -1)
+        o = cell.argsort(kind="stable")
+        whole = [uid[o].tobytes(), unit[o].tobytes(), cell[o].tobytes(), t["floor"].to_numpy()[o].tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([int(uid[o[0]])], pa.int64()), *(pa.array([w], pa.binary()) for w in whole)], names=["block", "uids", "units", "cells", "floors"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            if size and size + b.num_rows > WIDEST:
+                yield row(held)
+                held, size = [], 0
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+        if size:
+            yield row(held)
+
+    flat = vectors.select("uid", "unit", F.col("cells")[0].alias("cell"), F.greatest(F.coalesce("floor", F.lit(floor)), F.lit(floor)).alias("floor"))
+    return flat.repartitionByRange(math.ceil(n / span), "cell", "uid").mapInArrow(pack, "block long, uids binary, units binary, cells binary, floors binary")
+
+
+def meet_exactly(ux: np.ndarray, x: np.ndarray, fx: np.ndarray, uy: np.ndarray, y: np.ndarray, cy: np.ndarray, fy: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, key, cosine): every pair of x and y that can be among the k best of one of them, by keys u, unit vectors and floors f.
+
+    A floor is a cosine that k others reach at least, or the least asked for. y is ordered by its cells cy. Where y is x, each pair
+    is met once.
+    """
+    same = len(ux) == len(uy) and bool((ux == uy).all())
+    fx = fx.copy()
+    fy = fx if same else fy.copy()
+    starts = np.concatenate([[0], np.nonzero(np.diff(cy))[0] + 1])
+    sizes = np.diff(np.concatenate([starts, [len(cy)]]))
+    centre = np.add.reduceat(y, starts, axis=0) / sizes[:, None]
+    radius = np.maximum.reduceat(np.linalg.norm(y - np.repeat(centre, sizes, axis=0), axis=1), starts)
+    apart = lambda f: np.sqrt(np.maximum(0, 2 - 2 * (f - SLACK)))
+    tx, ty = apart(fx), np.maximum.reduceat(apart(fy), starts)
+    far = np.sqrt(np.maximum(0, 1 + (centre * centre).sum(axis=1) - 2 * (x @ centre.T)))
+    need = far - radius <= np.maximum(tx[:, None], ty) + 1e-3
+    jobs: list[tuple[np.ndarray, slice]] = []
+    if (need.sum(axis=0) * sizes).sum() > DENSE * len(x) * len(y):
+        jobs = [(np.arange(a, min(a + TILE, len(x))), slice(b, b + TILE)) for b in range(0, len(y), TILE) for a in range(0, len(x), TILE)]
+    else:
+        for c, (start, size) in enumerate(zip(starts, sizes)):
+            rows = np.nonzero(need[:, c])[0]
+            step = TILE * max(1, TILE // min(size, TILE))
+            jobs += [(rows[a : a + step], slice(b, min(b + TILE, start + size))) for b in range(start, start + size, TILE) for a in range(0, len(rows), step)]
+    del need, far
+    found: list[tuple] = []
+    held = 0
+    for rows, cols in jobs:
+        if same and rows[0] >= min(cols.stop, len(y)):
+            continue
+        s = x[rows] @ y[cols].T
+        at = np.arange(cols.start, cols.start + s.shape[1])
+        if same and rows[-1] >= cols.start:
+            s[rows[:, None] >= at] = -3
+        hit = s >= np.float32(min(fx[rows].min(), fy[at].min()) - SLACK)
+        if np.count_nonzero(hit) > k * (len(rows) + len(at)):
+            for t, f, ids in ((s, fx, rows), (s.T, fy, at)):
+                many = np.nonzero((t >= f[ids, None] - SLACK).sum(axis=1) > k)[0]
+                if len(many):
+                    kth = np.partition(t[many], t.shape[1] - k, axis=1)[:, t.shape[1] - k]
+                    f[ids[many]] = np.maximum(f[ids[many]], kth - SLACK)
+            hit = s >= np.minimum(fx[rows, None], fy[at]) - SLACK
+        i, j = np.divmod(np.flatnonzero(hit), len(at))
+        dots, i, j = s[i, j], rows[i], at[j]
+        true = (dots >= np.minimum(fx[i], fy[j]) - SLACK) & (dots > -2)
+        i, j = i[true], j[true]
+        for a in range(0, len(i), 100_000):
+            p, r = i[a : a + 100_000], j[a : a + 100_000]
+            found.append((p, r, _cosine(x[p], y[r])))
+            held += len(p)
+        if held > 2_000_000:
+            found = [_best(ux, uy, found, k, same)]
+            held = len(found[0][0])
+    if not found:
+        return ux[:0], uy[:0], np.zeros(0)
+    i, j, cosine = _best(ux, uy, found, k, same)
+    return ux[i], uy[j], cosine
+
+
+def _best(ux: np.ndarray, uy: np.ndarray, found: list[tuple], k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (i, j, cosine), those among the k best of i or of j; equal cosines by key."""
+    i, j, cosine = (np.concatenate([f[n] for f in found]) for n in range(3))
+    n = len(i)
+    own = np.concatenate([i, j if same else j + len(ux)])
+    order = np.lexsort((np.concatenate([uy[j], ux[i]]), -np.concatenate([cosine, cosine]), own))
+    first = np.concatenate([[True], np.diff(own[order]) > 0])
+    place = np.arange(2 * n) - np.maximum.accumulate(np.where(first, np.arange(2 * n), 0))
+    keep = np.zeros(n, dtype=bool)
+    keep[order[place < k] % n] = True
+    return i[keep], j[keep], cosine[keep]
+
+
+def _finish(k: int):  # noqa: ANN202
+    """The function that meets two blocks."""
+
+    def finish(cols: dict[str, list]) -> dict[str, list]:
+        out: list[tuple] = []
+        for row in range(len(cols["block_x"])):
+            read = lambda name, kind: np.frombuffer(cols[name][row], dtype=kind)  # noqa: B023, E731
+            ux, uy = read("uids_x", np.int64), read("uids_y", np.int64)
+            x, y = read("units_x", np.float32).reshape(len(ux), -1), read("units_y", np.float32).reshape(len(uy), -1)
+            out.append(meet_exactly(ux, x, read("floors_x", np.float64), uy, y, read("cells_y", np.int32), read("floors_y", np.float64), k))
+        return {name: np.concatenate([o[n] for o in out]) for n, name in enumerate(("a", "b", "cosine"))}
+
+    return finish
+
+
 def similar_vectors(
     df: DataFrame, key: str, vector: str, k: int = 5, least: float | None = None, dim: int = 64, dim_column: str | None = None, probes: int = PROBES
 ) -> DataFrame:
@@ -118,7 +245,7 @@ def similar_vectors(
 
     Vectors that are NULL, of another size, not finite or all zero take no part. Equal vectors are searched once and take each other
     first, so that a great group of copies costs a row each; equal cosines rank by key. A key that comes several times should come
-    with one vector. Fewer than k come out only where fewer exist or were found.
+    with one vector. Fewer than k come out only where fewer exist. `probes` changes what the exact meeting starts from, not the result.
     """
     vectors = usable(df, key, vector, dim_column, dim).distinct()
     classes = stored(vectors.groupBy("v").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies")), "vectors")
@@ -149,8 +276,16 @@ def similar_vectors(
     exact = map_batches(pairs, _cosines, "a long, b long, cosine double")
     if least is not None:
         exact = exact.where(F.col("cosine") >= least)
-    near = exact.select(F.col("a").alias("rep"), F.col("b").alias("to"), "cosine").union(exact.select("b", "a", "cosine"))
-    near = near.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("cosine"), "to"))).where(F.col("r") <= k).drop("r")
+    end = lambda a, b: F.struct(F.col(a).alias("rep"), F.col(b).alias("to"), "cosine")
+    ends = lambda pairs: pairs.select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("e.*")
+    best = lambda pairs: ends(pairs).withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("cosine"), "to"))).where(F.col("r") <= k)
+    floors = best(exact).where(F.col("r") == k).select(F.col("rep").alias("uid"), F.col("cosine").alias("floor"))
+    blocks = stored(_blocks(encoded.join(floors, "uid", "left"), n, -2.0 if least is None else least), "blocks")
+    both = blocks.select([F.col(c).alias(f"{c}_x") for c in blocks.columns]).join(blocks.select([F.col(c).alias(f"{c}_y") for c in blocks.columns]), F.col("block_x") <= F.col("block_y"))
+    whole = map_batches(both, _finish(k), "a long, b long, cosine double")
+    if least is not None:
+        whole = whole.where(F.col("cosine") >= least)
+    near = best(whole).drop("r")
 
     # Copies: the first k + 1 of a class stand for it as neighbours.
     lead = members.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("uid"))).where(F.col("r") <= k + 1).select(F.col("rep").alias("to"), F.col("uid").alias("other"))
@@ -163,11 +298,15 @@ def similar_vectors(
     return ranked.select("uid", "other", rank.alias("rank"), "cosine").where(F.col("rank") <= k)
 
 
+def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+
+
 def _cosines(cols: dict[str, list]) -> dict[str, list]:
-    x = np.frombuffer(b"".join(cols["ua"]), dtype=np.float32).reshape(len(cols["a"]), -1).astype(np.float64)
-    y = np.frombuffer(b"".join(cols["ub"]), dtype=np.float32).reshape(len(cols["b"]), -1).astype(np.float64)
-    dots = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-    return {"a": cols["a"], "b": cols["b"], "cosine": dots.tolist()}
+    x = np.frombuffer(b"".join(cols["ua"]), dtype=np.float32).reshape(len(cols["a"]), -1)
+    y = np.frombuffer(b"".join(cols["ub"]), dtype=np.float32).reshape(len(cols["b"]), -1)
+    return {"a": cols["a"], "b": cols["b"], "cosine": _cosine(x, y).tolist()}
 
 
 def similar_pairs(found: DataFrame) -> DataFrame:
