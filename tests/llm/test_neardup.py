@@ -55,6 +55,22 @@ def test_large_regions_are_met_block_by_block(spark, monkeypatch):
     assert neardup.near_duplicate_pairs(df).count() == 60 * 59 // 2
 
 
+def test_a_crowded_family_keeps_the_odds_of_a_small_one(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 8)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(150), 5):
+            w[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(w)))
+    sets = {k: shingles(t, 3) for k, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 0.6 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.75}
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(spark.createDataFrame(rows, "chunk_uid long, text string")).collect()}
+    assert len(want) > 1000 and len(want & got) >= 0.985 * len(want)
+
+
 def test_groups_one_row_per_record(spark):
     base = [f"w{i}" for i in range(200)]
     chain = [(i, " ".join(base[3 * i : 3 * i + 100])) for i in range(10)]  # neighbours alike, ends not

@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits: an LSH forest over shingles of words.
 
-Every record gets several trees of min-hash labels. In a tree, records that share the longest prefixes of the label are neighbours;
-the prefix by which neighbours are taken is as long as its region needs: where one prefix holds too many records, it is lengthened.
+Every record gets several trees of min-hash labels. In a tree, records that share the label's prefix are neighbours, however many
+share it: the odds of a pair to meet depend on its similarity alone.
 A sketch of one-bit min-hashes drops most chance neighbours where they meet; the rest is verified on the whole sets of shingles.
 """
 
@@ -19,8 +19,8 @@ from vellum.llm.common import map_batches, stored, words
 from vellum.llm.components import components
 
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 1
-#: Trees, levels of a label that every region uses, levels at most, and records of one region from which the label is lengthened.
-TREES, START, DEPTH, REGION = 20, 3, 6, 400
+#: Trees, levels of a label, and records of one region from which it is met block by block.
+TREES, START, REGION = 20, 3, 400
 #: Bits of the sketch, and standard deviations below its mean at the least similarity from which a pair is dropped.
 BITS, MARGIN = 128, 4.5
 
@@ -73,23 +73,20 @@ def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return np.unique(_mix(acc))
 
 
-def signature(shingles: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a set of shingles: label prefixes of START levels by tree, its further levels (16 bits each) by tree, and the sketch."""
+def signature(shingles: np.ndarray, trees: int = TREES, depth: int = START) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set of shingles: labels by tree, and the sketch."""
     a, b = _seeds(trees * depth + BITS)
     least = (shingles.astype(np.uint32)[:, None] * a + b).min(axis=0).astype(np.uint64)
     m = least[: trees * depth].reshape(trees, depth)
     first = np.arange(1, trees + 1, dtype=np.uint64)
-    for i in range(START):
+    for i in range(depth):
         first = _mix(first * _MIX + m[:, i])
-    rest = np.zeros(trees, dtype=np.uint64)
-    for i in range(START, depth):
-        rest = rest << np.uint64(16) | m[:, i] & np.uint64(0xFFFF)
     sketch = np.packbits((_mix(least[trees * depth :]) & np.uint64(1)).astype(np.uint8))
-    return first.view(np.int64), rest.view(np.int64), sketch.view(np.int64)
+    return first.view(np.int64), sketch.view(np.int64)
 
 
 def records(df: DataFrame, key: str, text: str, size: int, least_words: int) -> DataFrame:
-    """(uid, cls, lead, shingles, first, rest, s1, s2): one row per row with enough words; cls is the hash of its set of shingles.
+    """(uid, cls, lead, shingles, first, s1, s2): one row per row with enough words; cls is the hash of its set of shingles.
 
     lead is set on the first record of a class in each batch: only those need to be searched, so that copies stay where they are.
 
@@ -99,46 +96,36 @@ def records(df: DataFrame, key: str, text: str, size: int, least_words: int) ->
     def make(cols: dict[str, list]) -> dict[str, list]:
         import xxhash
 
-        out: dict[str, list] = {n: [] for n in ("uid", "cls", "lead", "shingles", "first", "rest", "s1", "s2")}
+        out: dict[str, list] = {n: [] for n in ("uid", "cls", "lead", "shingles", "first", "s1", "s2")}
         seen: set[int] = set()
         for k, t in zip(cols["_k"], cols["_t"]):
             h = word_hashes(canonical(t))
             if len(h) < max(1, least_words):
                 continue
             s = shingle_hashes(h, size)
-            first, rest, sketch = signature(s)
+            first, sketch = signature(s)
             cls = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-            for name, v in zip(out, (k, cls, cls not in seen, np.unique(s.astype(np.uint32)).view(np.int32), first, rest, int(sketch[0]), int(sketch[1]))):
+            for name, v in zip(out, (k, cls, cls not in seen, np.unique(s.astype(np.uint32)).view(np.int32), first, int(sketch[0]), int(sketch[1]))):
                 out[name].append(v)
             seen.add(cls)
         return out
 
     src = df.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")).where("_k is not null and _t <> ''")
-    return map_batches(src, make, "uid long, cls long, lead boolean, shingles array<int>, first array<long>, rest array<long>, s1 long, s2 long")
+    return map_batches(src, make, "uid long, cls long, lead boolean, shingles array<int>, first array<long>, s1 long, s2 long")
 
 
 def candidates(recs: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: classes that are neighbours in some tree and whose sketches do not rule the similarity out."""
-    flat = recs.where("lead").select("cls", "s1", "s2", F.explode(F.arrays_zip("first", "rest")).alias("t")).select("cls", "s1", "s2", F.col("t.first").alias("first"), F.col("t.rest").alias("rest"))
+    flat = recs.where("lead").select("cls", "s1", "s2", F.explode("first").alias("first"))
     flat = flat.repartition("first").dropDuplicates(["first", "cls"])
-    held = flat.withColumn("n0", F.count(F.lit(1)).over(W.partitionBy("first"))).where("n0 > 1")
-    # Deeper prefixes lie within their region, so that these counts need no further exchange.
-    depth = F.when(F.col("n0") <= REGION, 0)
-    for level in range(1, DEPTH - START + 1):
-        shift = 16 * (DEPTH - START - level)
-        held = held.withColumn(f"p{level}", F.shiftrightunsigned("rest", shift))
-        held = held.withColumn(f"n{level}", F.count(F.lit(1)).over(W.partitionBy("first", f"p{level}")))
-        depth = depth.when((F.col(f"n{level}") <= REGION) | F.lit(level == DEPTH - START), level)
-    held = held.withColumn("level", depth)
-    pick = lambda c: F.coalesce(*[F.when(F.col("level") == i, F.col(f"{c}{i}") if (c, i) != ("p", 0) else F.lit(0).cast("long")) for i in range(DEPTH - START + 1)])
-    region = held.select("cls", "s1", "s2", "first", "level", pick("p").alias("prefix"), pick("n").alias("n")).where("n > 1")
-    # A region that stays large at full depth is met block by block: no task holds more than two blocks.
+    held = flat.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("first"))).where("n > 1")
+    # A large region is met block by block: no task holds more than two blocks, and every pair of the region meets.
     blocks = F.ceil(F.col("n") / REGION).cast("int")
-    region = region.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    region = held.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     region = region.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     least = (1 + similarity) / 2
     differ = int(BITS * (1 - least) + MARGIN * (BITS * least * (1 - least)) ** 0.5)
-    on = ["first", "level", "prefix", "lo", "hi"]
+    on = ["first", "lo", "hi"]
     x = region.select(*on, F.col("cls").alias("a"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("block").alias("bx"))
     y = region.select(*on, F.col("cls").alias("b"), F.col("s1").alias("y1"), F.col("s2").alias("y2"), F.col("block").alias("by"))
     near = F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2"))) <= differ
