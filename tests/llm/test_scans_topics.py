@@ -95,3 +95,21 @@ def test_areas(spark):
     assert sum(got.get(k) == v for k, v in want.items()) >= 0.97 * len(want)
     assert got[904] == {"sport"} and not {900, 901, 902, 903} & set(got)
     assert topics.subject_areas(df.limit(0), lab).count() == 0
+
+
+def test_all_evidence_comes_by_joins(spark, monkeypatch):
+    rng = random.Random(2)
+    known = [[page(rng, 1, "x", "1", [(1, "a well-known market by the seed-coat")])] for _ in range(20)]
+    odd = [
+        [page(rng, 1, "x", "1", [(7, "the market is well-")]), "x\n\nknown by the river\nthe water moves\n2"],  # goes on after the next page's edge
+        [page(rng, 1, "x", "1", [(7, "the market is well-")])],  # nothing follows
+        [page(rng, 1, "x", "1", [(2, "the river and the 5eed-"), (3, "coat near the village")])],  # a misread compound
+        ["x\nthe river is near the rnar-", "x\nket near the village"],  # a misread word cut at the page's end
+    ]
+    rows = [(i, "b.pdf", [{"page_number": n + 1, "text": t} for n, t in enumerate(ps)]) for i, ps in enumerate([*known, *odd])]
+    df = spark.createDataFrame(rows, "doc_id long, filename string, pages array<struct<page_number: int, text: string>>")
+    read = lambda: {r["item_id"]: (r["pages"], r["full_text"]) for r in scans.repaired_scans(df).collect()}
+    whole = read()
+    assert not [i for i in (20, 21, 22) for p in whole[i][0] if "hyphen" in p["defects"]]
+    monkeypatch.setattr(scans, "BLOCK", 0)
+    assert read() == whole

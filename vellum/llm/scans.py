@@ -217,8 +217,8 @@ def _make(text: str) -> str:
     return skeleton(_LONE.sub("#", text))
 
 
-def read_scan(pages: list[dict], title: str | None, fixes: dict[str, str], forms: set[str]) -> tuple[list[list[str]], list[str]]:
-    """Defects of each page, and each page's repaired text."""
+def _bodies(pages: list[dict], title: str | None) -> tuple[list[set[str]], list[list[str]]]:
+    """Of each page, the defects of its edges and the lines that are left without running lines and page numbers."""
     wanted = skeleton(title) if title else None
     chapter = [skeleton(w) for w in CHAPTER_WORDS]
     split = [[x for x in (p["text"] or "").split("\n")] for p in pages]
@@ -262,15 +262,23 @@ def read_scan(pages: list[dict], title: str | None, fixes: dict[str, str], forms
                 found |= {"page_number"} if number else set()
         bodies.append([x for i, x in enumerate(lines) if i not in drop])
         defects.append(found)
+    return defects, bodies
+
+
+def _cuts(bodies: list[list[str]], n: int) -> list[tuple[int, str, str]]:
+    """broken() of the n-th body, whose last line goes on with the next body."""
+    full = [x for x in bodies[n] if x.strip()]
+    after = next((x for b in bodies[n + 1 : n + 2] for x in b if x.strip()), "")
+    return [c for c in broken([*full, after] if after else full) if c[0] < len(full)]
+
 
+def read_scan(pages: list[dict], title: str | None, fixes: dict[str, str], forms: set[str]) -> tuple[list[list[str]], list[str]]:
+    """Defects of each page, and each page's repaired text."""
+    defects, bodies = _bodies(pages, title)
     texts = []
     for n, body in enumerate(bodies):
-        full = [x for x in body if x.strip()]
-        after = next((x for b in bodies[n + 1 : n + 2] for x in b if x.strip()), "")
         cut = {}
-        for i, left, right in broken([*full, after] if after else full):
-            if i >= len(full):
-                continue
+        for i, left, right in _cuts(bodies, n):
             if not _own_hyphen(left, right, forms):
                 defects[n].add("hyphen")
                 cut[i] = True
@@ -358,27 +366,73 @@ def repaired_scans(scans: DataFrame, titles: DataFrame | None = None, key: str =
     return map_batches(_with_evidence(source, fixes, forms), _reader(None), schema)
 
 
+class _Asked(dict):
+    """Corrections that knows none and notes the words it is asked for."""
+
+    def __init__(self) -> None:
+        self.words: set[str] = set()
+
+    def get(self, word: str, default: str | None = None) -> str | None:
+        self.words.add(word)
+        return default
+
+    def __contains__(self, word: object) -> bool:
+        self.words.add(str(word))
+        return False
+
+
 def _with_evidence(source: DataFrame, fixes: DataFrame, forms: DataFrame) -> DataFrame:
-    """source with the corrections and compounds that each scan can meet, by joins alone: the way where they are too many for a task."""
-
-    def needs(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"_k": [], "form": []}
-        for k, pages in zip(cols["_k"], cols["_p"]):
-            mine: set[str] = set()
-            for p in pages:
-                text = (p or {}).get("text") or ""
-                mine.update(map(clean_word, text.split()))
-                for _, left, right in broken([x for x in text.split("\n") if x.strip()]):
+    """source with the corrections and compounds that each scan can meet, by joins alone: the way where they are too many for a task.
+
+    First the compounds that bear on the words cut in the scan, by the whole, the beginning and the skeleton; then, as these tell how
+    words are joined, the corrections of all words that read_scan() asks for.
+    """
+
+    def wants(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"_k": [], "sort": [], "key": []}
+        for k, pages, title in zip(cols["_k"], cols["_p"], cols["_title"]):
+            mine: set[tuple[str, str]] = set()
+            _, bodies = _bodies([p for p in pages if p is not None], title)
+            for n in range(len(bodies)):
+                for _, left, right in _cuts(bodies, n):
                     a, b = left.lstrip(_EDGE).lower(), right.rstrip(_EDGE + "!").lower()
-                    mine |= {clean_word(left + right), f"{a}-{b}", f"-{b}"}
+                    if b:
+                        mine |= {("whole", f"{a}-{b}"), ("whole", f"-{b}")} | ({("skeleton", skeleton(f"{a}-{b}"))} if _ODD.search(a + b) else set())
+                    elif a:
+                        mine.add(("start", a))
             out["_k"] += [k] * len(mine)
-            out["form"] += mine
+            out["sort"] += [x for x, _ in mine]
+            out["key"] += [x for _, x in mine]
+        return out
+
+    def offers(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"sort": [], "key": [], "form": []}
+        for f in cols["form"]:
+            keys = [("whole", f), ("skeleton", skeleton(f)), *(("start", f[:i]) for i, c in enumerate(f) if c == "-" and i)]
+            out["sort"] += [x for x, _ in keys]
+            out["key"] += [x for _, x in keys]
+            out["form"] += [f] * len(keys)
+        return out
+
+    def asks(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"_k": [], "word": []}
+        for k, pages, title, mine in zip(cols["_k"], cols["_p"], cols["_title"], cols["_forms"]):
+            asked = _Asked()
+            read_scan([p for p in pages if p is not None], title, asked, set(mine or ()))
+            out["_k"] += [k] * len(asked.words)
+            out["word"] += asked.words
         return out
 
-    asked = map_batches(source.select("_k", "_p"), needs, "_k long, form string").distinct()
-    right = asked.join(fixes.withColumnRenamed("word", "form"), "form").groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("form", "correct"))).alias("_fixes"))
-    own = asked.join(forms, "form").groupBy("_k").agg(F.collect_list("form").alias("_forms"))
-    return source.join(right, "_k", "left").join(own, "_k", "left")
+    offered = map_batches(forms, offers, "sort string, key string, form string")
+    # Any form with a beginning proves it, so one is enough.
+    starts = offered.where("sort = 'start'").groupBy("sort", "key").agg(F.min("form").alias("form"))
+    offered = offered.where("sort <> 'start'").union(starts)
+    wanted = map_batches(source.select("_k", "_p", "_title"), wants, "_k long, sort string, key string").distinct()
+    own = wanted.join(offered, ["sort", "key"]).groupBy("_k").agg(F.collect_set("form").alias("_forms"))
+    source = source.join(own, "_k", "left")
+    asked = map_batches(source.select("_k", "_p", "_title", "_forms"), asks, "_k long, word string").distinct()
+    right = asked.join(fixes, "word").groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("word", "correct"))).alias("_fixes"))
+    return source.join(right, "_k", "left")
 
 
 def _reader(known):  # noqa: ANN001, ANN202
