@@ -3,7 +3,7 @@
 import numpy as np
 
 from vellum.llm import similar
-from vellum.llm.additive import AdditiveQuantizer
+from vellum.llm.additive import AdditiveQuantizer, kmeans
 
 
 def data(n=1200, seed=0):
@@ -19,10 +19,10 @@ def brute(ids, x, k, least):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
-    out = set()
-    for i in range(len(ids)):
-        order = sorted(range(len(ids)), key=lambda j: (-round(s[i, j], 12), ids[j]))[:k]
-        out |= {(ids[i], ids[j]) for j in order if s[i, j] >= least}
+    ids, out = np.asarray(ids), set()
+    for i, row in enumerate(np.round(s, 12)):
+        order = np.lexsort((ids, -row))[:k]
+        out |= {(int(ids[i]), int(ids[j])) for j in order if s[i, j] >= least}
     return out
 
 
@@ -39,7 +39,7 @@ def test_recall_with_and_without_threshold(spark):
     got = {(r["uid"], r["other"]) for r in similar.similar_vectors(df, "chunk_uid", "embedding", 5, 0.85, dim_column="embedding_dim").collect()}
     want = brute(ids, x, 5, 0.85)
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 1000
-    near = {(r["uid"], r["other"]) for r in similar.similar_vectors(df, "chunk_uid", "embedding", 3, dim_column="embedding_dim", probes=64).collect()}
+    near = {(r["uid"], r["other"]) for r in similar.similar_vectors(df, "chunk_uid", "embedding", 3, dim_column="embedding_dim").collect()}
     assert len(near & brute(ids, x, 3, -1)) >= 0.9 * 3 * len(ids)
 
 
@@ -70,25 +70,64 @@ def test_beam_is_no_worse_than_greedy_and_scores_are_cosines():
     assert np.allclose(s, (d / np.linalg.norm(d, axis=1, keepdims=True)) @ x[:5].T, atol=1e-4)
 
 
-def test_a_dense_group_of_a_third_is_found_whole(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    x = data(1200, 5)
-    x[:400] = rng.normal(size=64) + rng.normal(scale=0.3, size=(400, 64))
-    x = x.astype(np.float32).astype(np.float64)
+def recall(spark, x, k, least, **how):
     ids = list(range(len(x)))
-    monkeypatch.setattr(similar, "SPAN", 500)  # several blocks
+    got = {(r["uid"], r["other"]) for r in similar.similar_vectors(frame(spark, ids, x), "chunk_uid", "embedding", k, least, **how).collect()}
+    want = brute(ids, x, k, -1 if least is None else least)
+    assert len(want) > 1000
+    return len(want & got) / len(want), len(got) / len(want)
+
+
+def dense_third(seed=5):
+    rng = np.random.default_rng(seed)
+    x = data(1200, seed)
+    x[:400] = rng.normal(size=64) + rng.normal(scale=0.3, size=(400, 64))
+    return x.astype(np.float32).astype(np.float64)
+
+
+def test_a_dense_group_of_a_third_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(similar, "ITEMS", 40)  # cells of several blocks of items and of queries
+    monkeypatch.setattr(similar, "ASKED", 300)
     for k, least in ((5, 0.85), (3, None)):
-        got = {(r["uid"], r["other"]) for r in similar.similar_vectors(frame(spark, ids, x), "chunk_uid", "embedding", k, least).collect()}
-        want = brute(ids, x, k, -1 if least is None else least)
-        assert len(want & got) >= 0.999 * len(want) and len(got) <= 1.001 * len(want) and len(want) > 2000
-
-
-def test_cells_ruled_out_lose_nothing():
-    rng = np.random.default_rng(6)
-    centres = rng.normal(size=(40, 64))
-    x = np.repeat(centres, 30, axis=0) + rng.normal(scale=0.2, size=(1200, 64))
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    ids, cells = np.arange(1200), np.repeat(np.arange(40), 30)
-    a, b, _ = similar.meet_exactly(ids, x, np.full(1200, 0.9), ids, x, cells, np.full(1200, 0.9), 5)
-    want = {(min(p), max(p)) for p in brute(ids.tolist(), x.astype(np.float64), 5, 0.9)}
-    assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} >= want and len(want) > 1000
+        share, size = recall(spark, dense_third(), k, least, cell_size=50)
+        assert share >= 0.95 and size <= 1.01
+
+
+def test_looking_into_all_cells_is_exact(spark):
+    assert recall(spark, dense_third(), 5, 0.85, cell_size=50, meet=1.0) == (1.0, 1.0)
+
+
+def test_two_books_make_the_cells(spark):
+    rng = np.random.default_rng(80)
+    x = data(1800, 8)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.normal(size=u[:600].shape)
+    noise -= (noise * u[:600]).sum(axis=1, keepdims=True) * u[:600]
+    x[600:1200] = 0.86 * u[:600] + np.sqrt(1 - 0.86**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    x = x.astype(np.float32).astype(np.float64)
+    known = similar.fit(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "uid long, v array<float>"), len(x), 5, 0.85, cells=8, cell_size=25)
+    assert known.depth == 2 and known.number == 8 * 16
+    assert recall(spark, x, 5, 0.85, cells=8, cell_size=25)[0] >= 0.95
+
+
+def test_within_a_block_nothing_is_lost():
+    x = dense_third().astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = AdditiveQuantizer.fit(x, (16, 16, 16))
+    codes, norms = q.encode(x)
+    fits = (x * q.decode(codes)).sum(axis=1) / np.sqrt(norms)
+    ids = np.arange(len(x))
+    for k, least in ((5, 0.85), (3, None), (3, -0.5)):
+        a, b, near = similar.best_of_block(q, ids, x, codes, norms, fits, ids, x, k, least)
+        got = dict(zip(zip(a.tolist(), b.tolist()), near.tolist()))
+        want = brute(ids, x.astype(np.float64), k, -1 if least is None else least)
+        assert want <= set(got)
+        assert all(abs(got[p] - float(x[p[0]] @ x[p[1]])) < 1e-3 for p in list(want)[:50])
+
+
+def test_words_without_vectors_are_placed_anew():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.zeros((900, 8)), rng.normal(size=(600, 8)) + 4]).astype(np.float32)
+    c = kmeans(x, 400, 10, 1)
+    near = (x @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)
+    assert len(np.unique(near)) > 300

@@ -19,8 +19,9 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
         full = counts > 0
         c[full] = np.add.reduceat(x[order], starts[full], axis=0) / counts[full, None]
         if not full.all():
-            worst = ((x - c[near]) ** 2).sum(axis=1).argsort()[::-1][: (~full).sum()]
-            c[~full][: len(worst)] = x[worst]
+            empty = np.flatnonzero(~full)
+            worst = ((x - c[near]) ** 2).sum(axis=1).argsort()[::-1][: len(empty)]
+            c[empty[: len(worst)]] = x[worst]
     return c
 
 

@@ -1,13 +1,13 @@
 """Most similar vectors for every vector: cells and codes by additive quantisation, lookup-table scores, then exact cosines.
 
-The codes only propose: the k-th cosine they find (or the least one asked for) is a floor. Blocks of vectors then meet exactly, without
-the cells that a bound from their radius rules out, so that nothing depends on how many cells are looked into or candidates kept.
+The first book's words make the cells (a second book divides them where there are many vectors), and every vector looks into the cells
+nearest to it. How many depends on where it lies: a pilot of the sample tells, region by region, how many cells it takes to meet a
+given share of the neighbours. Within a cell nothing is lost: a code's own error bounds what an exact cosine can be.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +18,16 @@ from pyspark.sql import functions as F
 from vellum.llm.additive import AdditiveQuantizer
 from vellum.llm.common import map_batches, stored
 
-#: Vectors the codebooks are fitted on at most, words of the first book (the cells), further books, cells each vector looks into.
-SAMPLE, CELLS, BOOKS, PROBES = 20_000, 1024, 5, 8
-#: Vectors a cell should hold on average; beyond it a second book divides the cells. Items and queries that meet in one task at most.
-CELL_SIZE, BLOCK = 2000, 4000
-#: Candidates kept by lookup score for each query and block, and what rounding a query to bytes may change a cosine by.
-KEPT, ROUNDING = 32, 0.02
-#: Vectors of a block in the exact meeting, at least and at most, blocks wished for between the two, and vectors met by one product.
-SPAN, WIDEST, SPANS, TILE = 4096, 65_536, 12, 2048
-#: More than products of 32-bit numbers change a cosine by.
-SLACK = 1e-5
-#: Share of a block's pairs not ruled out from which cells are no longer met one by one.
-DENSE = 0.25
+#: Vectors the codebooks are fitted on at most, vectors a cell holds on average, words of the first book at most, further books.
+SAMPLE, CELL_SIZE, CELLS, BOOKS = 20_000, 2000, 1024, 5
+#: Share of neighbours to meet from one side, vectors of the sample that tell how many cells this takes, and how many of them speak for one cell.
+MEET, PILOT, POOL = 0.95, 4000, 40
+#: Words of the first book whose cells are put in order where a second book divides them; words of the second book at most.
+FRONT, SECOND = 64, 256
+#: Items and queries that meet in one task at most.
+ITEMS, ASKED = 4000, 16_000
+#: What rounding a query to 16 bits may change a cosine by.
+ROUNDING = 0.001
 
 
 def usable(df: DataFrame, key: str, vector: str, dim_column: str | None, dim: int) -> DataFrame:
@@ -41,251 +39,256 @@ def usable(df: DataFrame, key: str, vector: str, dim_column: str | None, dim: in
     return df.select(F.col(key).cast("long").alias("uid"), F.col(vector).cast("array<float>").alias("v")).where(F.col("uid").isNotNull() & sized & fine)
 
 
-def fit(vectors: DataFrame, n: int, sample: int = SAMPLE, cells: int = CELLS, books: int = BOOKS) -> tuple[AdditiveQuantizer, int]:
-    """The quantizer, fitted on at most `sample` vectors chosen by a hash of the key, and how many of its books make the cell."""
+class Cells:
+    """A quantizer whose first `depth` books make the cells, and the cells to look into by word of the first book."""
+
+    def __init__(self, quantizer: AdditiveQuantizer, depth: int) -> None:
+        self.quantizer, self.depth = quantizer, depth
+        self.probes = np.ones(len(quantizer.books[0]), dtype=np.int64)
+
+    @property
+    def number(self) -> int:
+        """Cells there are."""
+        return math.prod(len(b) for b in self.quantizer.books[: self.depth])
+
+    def ordered(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n, cells) numbers of cells and how far they are, in no order; where a second book divides cells, those of the FRONT nearest words."""
+        q = self.quantizer
+        dots = x @ q.words.T
+        norms = np.einsum("ij,ij->i", q.words, q.words)
+        k1 = len(q.books[0])
+        cost = norms[:k1] - 2 * dots[:, :k1]
+        if self.depth == 1:
+            return np.broadcast_to(np.arange(k1), cost.shape), cost
+        front = min(FRONT, k1)
+        best = np.argpartition(cost, front - 1, axis=1)[:, :front]
+        k2 = len(q.books[1])
+        cross = q.books[0] @ q.books[1].T
+        both = np.take_along_axis(cost, best, axis=1)[:, :, None] + (norms[k1 : k1 + k2] - 2 * dots[:, k1 : k1 + k2])[:, None, :] + 2 * cross[best]
+        return (best[:, :, None] * k2 + np.arange(k2)).reshape(len(x), -1), both.reshape(len(x), -1)
+
+    def nearest(self, x: np.ndarray) -> list[np.ndarray]:
+        """The cells each vector looks into, its own first."""
+        out: list[np.ndarray] = []
+        per = self.number // len(self.probes)
+        for a in range(0, len(x), 256):
+            cells, cost = self.ordered(x[a : a + 256])
+            own = np.take_along_axis(cells, cost.argmin(axis=1)[:, None], axis=1)[:, 0]
+            counts = np.minimum(self.probes[own // per], cells.shape[1])
+            most = int(counts.max())
+            top = np.argpartition(cost, most - 1, axis=1)[:, :most] if most < cells.shape[1] else np.tile(np.arange(most), (len(cells), 1))
+            top = np.take_along_axis(top, np.take_along_axis(cost, top, axis=1).argsort(axis=1, kind="stable"), axis=1)
+            got = np.take_along_axis(cells, top, axis=1)
+            out += [g[:c] for g, c in zip(got, counts)]
+        return out
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each vector."""
+        out = []
+        for a in range(0, len(x), 256):
+            cells, cost = self.ordered(x[a : a + 256])
+            out.append(np.take_along_axis(cells, cost.argmin(axis=1)[:, None], axis=1)[:, 0])
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+    def ranks(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """How many cells lie nearer to each vector than the given one."""
+        out = []
+        for a in range(0, len(x), 256):
+            cells, cost = self.ordered(x[a : a + 256])
+            at = cells == cell[a : a + 256, None]
+            mine = np.where(at.any(axis=1), np.where(at, cost, np.inf).min(axis=1), np.inf)
+            out.append((cost < mine[:, None]).sum(axis=1))
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+    def settle(self, x: np.ndarray, k: int, least: float | None, meet: float = MEET, seed: int = 7) -> None:
+        """Set the probes from the sample x: how many cells lie nearer than a neighbour's, at the share `meet`, in each region.
+
+        Neighbours within the sample lie farther than those among all vectors, so that the count errs towards more cells. A vector
+        without a neighbour there of at least `least` stands in with an invented one just that near, in a random direction.
+        """
+        if meet >= 1:
+            self.probes[:] = self.number
+            return
+        pilot = x[: min(PILOT, len(x))]
+        own = self.own(x)
+        first, ranks = [], []
+        rng = np.random.default_rng(seed)
+        per = self.number // len(self.probes)
+        for a in range(0, len(pilot), 500):
+            part = pilot[a : a + 500]
+            s = part @ x.T
+            s[np.arange(len(part)), np.arange(a, a + len(part))] = -2
+            top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
+            near = np.take_along_axis(s, top, axis=1) >= (-1 if least is None else least)
+            i, j = np.nonzero(near)
+            first.append(own[a + i] // per)
+            ranks.append(self.ranks(part[i], own[top[i, j]]))
+            alone = np.flatnonzero(~near.any(axis=1))
+            if len(alone):
+                u = rng.normal(size=(len(alone), x.shape[1])).astype(np.float32)
+                u -= (u * part[alone]).sum(axis=1, keepdims=True) * part[alone]
+                u /= np.linalg.norm(u, axis=1, keepdims=True) + 1e-12
+                other = least * part[alone] + math.sqrt(max(0.0, 1 - least * least)) * u
+                first.append(own[a + alone] // per)
+                ranks.append(self.ranks(part[alone], self.own(other)))
+        at, rank = np.concatenate(first), np.concatenate(ranks)
+        order = at.argsort(kind="stable")
+        rank, begin = rank[order], np.searchsorted(at[order], np.arange(len(self.probes) + 1))
+        words = self.quantizer.books[0]
+        for c in range(len(self.probes)):
+            told, held = [], 0
+            for other in ((words - words[c]) ** 2).sum(axis=1).argsort(kind="stable"):
+                told.append(rank[begin[other] : begin[other + 1]])
+                held += len(told[-1])
+                if held >= POOL:
+                    break
+            self.probes[c] = 1 + (int(np.quantile(np.concatenate(told), meet, method="higher")) if held else self.number)
+
+
+def fit(vectors: DataFrame, n: int, k: int, least: float | None, sample: int = SAMPLE, cells: int = CELLS, cell_size: int = CELL_SIZE, books: int = BOOKS, meet: float = MEET) -> Cells:
+    """Cells and quantizer, fitted on at most `sample` vectors chosen by a hash of the key; only those come to the driver."""
     share = min(1.0, 1.5 * sample / max(1, n))
-    rows = vectors.where(F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < int(1_000_000 * share)).orderBy(F.xxhash64("uid")).limit(sample).select("v").collect()
-    x = np.array([r["v"] for r in rows], dtype=np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    first = max(1, min(cells, len(x) // 4))
-    divide = 2 ** math.ceil(math.log2(n / (first * CELL_SIZE))) if n > first * CELL_SIZE else 1
-    second = (min(256, divide),) if divide > 1 else ()
-    return AdditiveQuantizer.fit(x, (first, *second, *(min(256, max(1, len(x) // 4)),) * books)), 1 + len(second)
-
-
-def nearest_cells(q: AdditiveQuantizer, depth: int, x: np.ndarray, probes: int) -> np.ndarray:
-    """(n, probes): numbers of the cells nearest to each vector, the nearest first."""
-    dots = x @ q.words.T
-    norms = np.einsum("ij,ij->i", q.words, q.words)
-    k1 = len(q.books[0])
-    cost = norms[:k1] - 2 * dots[:, :k1]
-    p1 = min(probes, k1)
-    best = np.argpartition(cost, p1 - 1, axis=1)[:, :p1]
-    best = np.take_along_axis(best, np.take_along_axis(cost, best, axis=1).argsort(axis=1), axis=1)
-    if depth == 1:
-        return best
-    k2 = len(q.books[1])
-    cross = q.books[0] @ q.books[1].T
-    both = np.take_along_axis(cost, best, axis=1)[:, :, None] + (norms[k1 : k1 + k2] - 2 * dots[:, k1 : k1 + k2])[:, None, :] + 2 * cross[best]
-    flat = both.reshape(len(x), -1)
-    p = min(probes, flat.shape[1])
-    top = flat.argsort(axis=1)[:, :p]
-    return np.take_along_axis(best, top // k2, axis=1) * k2 + top % k2
-
-
-def _encoded(vectors: DataFrame, q: AdditiveQuantizer, depth: int, probes: int) -> DataFrame:
-    """(uid, unit, codes, norm, rounded, cells): unit vector, its code and that sum's norm, the vector in bytes, and the cells it looks into."""
-    known = vectors.sparkSession.sparkContext.broadcast((q, depth))
+    rows = vectors.where(F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < math.ceil(1_000_000 * share)).orderBy(F.xxhash64("uid")).limit(sample).select("v").collect()
+    x = np.array([r["v"] for r in rows], dtype=np.float64)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    first = max(1, min(cells, len(x) // 4, math.ceil(n / cell_size)))
+    divide = 2 ** math.ceil(math.log2(n / (first * cell_size))) if n > first * cell_size else 1
+    second = (min(SECOND, divide),) if divide > 1 else ()
+    out = Cells(AdditiveQuantizer.fit(x, (first, *second, *(min(256, max(1, len(x) // 4)),) * books)), 1 + len(second))
+    out.settle(x, k, least, meet)
+    return out
+
+
+def _encoded(vectors: DataFrame, known: Cells) -> DataFrame:
+    """(uid, unit, codes, norm, fit, half, cells): unit vector, its code, that sum's norm and cosine to it, the vector in 16 bits, its cells."""
+    shared = vectors.sparkSession.sparkContext.broadcast(known)
 
     def encode(cols: dict[str, list]) -> dict[str, list]:
-        quantizer, d = known.value
+        q = shared.value.quantizer
         x = np.array(cols["v"], dtype=np.float64)
         x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-        codes, norms = quantizer.encode(x)
-        cells = nearest_cells(quantizer, d, x, probes)
+        codes, norms = q.encode(x)
+        near = (x * q.decode(codes)).sum(axis=1) / np.sqrt(np.maximum(norms, 1e-12))
         return {
-            "uid": cols["uid"], "unit": [r.tobytes() for r in x], "codes": [r.tobytes() for r in codes.astype(np.uint16)], "norm": norms.tolist(),
-            "rounded": [r.tobytes() for r in np.round(x * 127 / np.abs(x).max(axis=1, keepdims=True)).astype(np.int8)], "cells": cells.tolist(),
+            "uid": cols["uid"], "unit": [r.tobytes() for r in x], "codes": [r.tobytes() for r in codes.astype(np.uint16)], "norm": norms.tolist(), "fit": near.tolist(),
+            "half": [r.tobytes() for r in x.astype(np.float16)], "cells": [c.tolist() for c in shared.value.nearest(x)],
         }
 
-    return map_batches(vectors, encode, "uid long, unit binary, codes binary, norm float, rounded binary, cells array<int>")
+    return map_batches(vectors, encode, "uid long, unit binary, codes binary, norm float, fit float, half binary, cells array<int>")
+
+
+def best_of_block(q: AdditiveQuantizer, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, fits: np.ndarray, asked: np.ndarray, y: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, cosine within ROUNDING): of items x, at least the k most similar to each query y, by the lookup tables' bound.
+
+    The angle of a vector to its code's sum is stored (fits is its cosine), the angle of a query to that sum is looked up, and the angle
+    between the two is no smaller than the difference. The k best by lookup give each query a floor, and all items whose bound reaches
+    the floor are met exactly, so that no better one is lost.
+    """
+    found: list[tuple] = []
+    kept = min(k + 1, len(ids))
+    across = np.sqrt(np.maximum(0.0, 1 - fits.astype(np.float64) ** 2)).astype(np.float32)
+    for a in range(0, len(asked), 512):
+        part, mine = y[a : a + 512], asked[a : a + 512]
+        score = q.scores(q.tables(part), codes, norms)
+        self_r, self_c = np.nonzero(ids[:, None] == mine)
+        score[self_r, self_c] = -2
+        if kept < len(ids):
+            best = np.argpartition(-score, kept - 1, axis=0)[:kept]
+        else:
+            best = np.tile(np.arange(len(ids))[:, None], (1, len(part)))
+        near = np.einsum("kqd,qd->kq", x[best], part)
+        near[ids[best] == mine] = -2
+        floor = np.sort(near, axis=0)[-k] if len(near) >= k else np.full(len(part), -2.0)
+        floor = np.maximum(floor, -1.0 if least is None else least) - ROUNDING
+        floor = np.clip(floor, -1, 1).astype(np.float32)
+        hit = score >= fits[:, None] * floor - across[:, None] * np.sqrt(1 - floor * floor) - 1e-4
+        hit |= (fits[:, None] <= -floor) & (score > -2)  # the two angles fill the half circle: the bound says nothing
+        if np.count_nonzero(hit) > 0.02 * hit.size:
+            exact = x @ part.T
+            exact[self_r, self_c] = -2
+            r, c = np.nonzero(hit & (exact >= floor))
+            near = exact[r, c]
+        else:
+            r, c = np.nonzero(hit)
+            near = np.einsum("nd,nd->n", x[r], part[c])
+            fine = near >= floor[c]
+            r, c, near = r[fine], c[fine], near[fine]
+        order = np.lexsort((-near, c))
+        r, c, near = r[order], c[order], near[order]
+        begin = np.searchsorted(c, np.arange(len(part)))
+        many = np.diff(np.append(begin, len(c))) >= k
+        kth = np.full(len(part), -2.0)
+        kth[many] = near[begin[many] + k - 1]
+        keep = near >= kth[c] - 2 * ROUNDING
+        found.append((mine[c[keep]], ids[r[keep]], near[keep]))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
 def _meet(q: AdditiveQuantizer, least: float | None, k: int):  # noqa: ANN202
-    """The function that scores one block's items for its queries."""
+    """The function that meets one block of items and one of queries."""
 
-    def meet(items: pa.Table, queries: pa.Table) -> pa.Table:
+    def meet(_: tuple, items: pa.Table, queries: pa.Table) -> pa.Table:
         out = pa.schema([("uid", pa.int64()), ("other", pa.int64()), ("near", pa.float32())])
         if not items.num_rows or not queries.num_rows:
             return out.empty_table()
-        ids = items["uid"].to_numpy()
-        x = np.frombuffer(b"".join(items["unit"].to_pylist()), dtype=np.float32).reshape(len(ids), -1)
-        codes = np.frombuffer(b"".join(items["codes"].to_pylist()), dtype=np.uint16).reshape(len(ids), -1).astype(np.int64)
-        norms = items["norm"].to_numpy()
-        asked = queries["asks"].to_numpy()
-        y = np.frombuffer(b"".join(queries["rounded"].to_pylist()), dtype=np.int8).reshape(len(asked), -1).astype(np.float32)
+        read = lambda t, name, kind: np.frombuffer(b"".join(t[name].to_pylist()), dtype=kind).reshape(t.num_rows, -1)
+        y = read(queries, "half", np.float16).astype(np.float32)
         y /= np.linalg.norm(y, axis=1, keepdims=True)
-        found: list[tuple] = []
-        kept = min(max(KEPT, 4 * k), len(ids))
-        for a in range(0, len(asked), 512):
-            part = y[a : a + 512]
-            score = q.scores(q.tables(part), codes, norms)
-            best = np.argpartition(-score, kept - 1, axis=0)[:kept] if kept < len(ids) else np.tile(np.arange(len(ids))[:, None], (1, len(part)))
-            near = np.einsum("kqd,qd->kq", x[best], part)
-            ok = ids[best] != asked[None, a : a + 512]
-            if least is not None:
-                ok &= near >= least - ROUNDING
-            r, c = np.nonzero(ok)
-            found.append((asked[a + c], ids[best[r, c]], near[r, c]))
-        return pa.table([np.concatenate([f[i] for f in found]) for i in range(3)], schema=out)
-
-    return lambda _, items, queries: meet(items, queries)
-
-
-def _blocks(vectors: DataFrame, n: int, floor: float) -> DataFrame:
-    """(block, uids, units, cells, floors): vectors of neighbouring cells packed to a row, named by its first key; no floor is below `floor`."""
-    span = min(WIDEST, max(SPAN, math.ceil(n / SPANS)))
-
-    def row(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
-        uid, cell = t["uid"].to_numpy(), t["cell"].to_numpy().astype(np.int32)
-        unit = np.frombuffer(b"".join(t["unit"].to_pylist()), dtype=np.float32).reshape(len(uid), -1)
-        o = cell.argsort(kind="stable")
-        whole = [uid[o].tobytes(), unit[o].tobytes(), cell[o].tobytes(), t["floor"].to_numpy()[o].tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([int(uid[o[0]])], pa.int64()), *(pa.array([w], pa.binary()) for w in whole)], names=["block", "uids", "units", "cells", "floors"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            if size and size + b.num_rows > WIDEST:
-                yield row(held)
-                held, size = [], 0
-            if b.num_rows:
-                held.append(b)
-                size += b.num_rows
-        if size:
-            yield row(held)
-
-    flat = vectors.select("uid", "unit", F.col("cells")[0].alias("cell"), F.greatest(F.coalesce("floor", F.lit(floor)), F.lit(floor)).alias("floor"))
-    return flat.repartitionByRange(math.ceil(n / span), "cell", "uid").mapInArrow(pack, "block long, uids binary, units binary, cells binary, floors binary")
-
-
-def meet_exactly(ux: np.ndarray, x: np.ndarray, fx: np.ndarray, uy: np.ndarray, y: np.ndarray, cy: np.ndarray, fy: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, key, cosine): every pair of x and y that can be among the k best of one of them, by keys u, unit vectors and floors f.
-
-    A floor is a cosine that k others reach at least, or the least asked for. y is ordered by its cells cy. Where y is x, each pair
-    is met once.
-    """
-    same = len(ux) == len(uy) and bool((ux == uy).all())
-    fx = fx.copy()
-    fy = fx if same else fy.copy()
-    starts = np.concatenate([[0], np.nonzero(np.diff(cy))[0] + 1])
-    sizes = np.diff(np.concatenate([starts, [len(cy)]]))
-    centre = np.add.reduceat(y, starts, axis=0) / sizes[:, None]
-    radius = np.maximum.reduceat(np.linalg.norm(y - np.repeat(centre, sizes, axis=0), axis=1), starts)
-    apart = lambda f: np.sqrt(np.maximum(0, 2 - 2 * (f - SLACK)))
-    tx, ty = apart(fx), np.maximum.reduceat(apart(fy), starts)
-    far = np.sqrt(np.maximum(0, 1 + (centre * centre).sum(axis=1) - 2 * (x @ centre.T)))
-    need = far - radius <= np.maximum(tx[:, None], ty) + 1e-3
-    jobs: list[tuple[np.ndarray, slice]] = []
-    if (need.sum(axis=0) * sizes).sum() > DENSE * len(x) * len(y):
-        jobs = [(np.arange(a, min(a + TILE, len(x))), slice(b, b + TILE)) for b in range(0, len(y), TILE) for a in range(0, len(x), TILE)]
-    else:
-        for c, (start, size) in enumerate(zip(starts, sizes)):
-            rows = np.nonzero(need[:, c])[0]
-            step = TILE * max(1, TILE // min(size, TILE))
-            jobs += [(rows[a : a + step], slice(b, min(b + TILE, start + size))) for b in range(start, start + size, TILE) for a in range(0, len(rows), step)]
-    del need, far
-    found: list[tuple] = []
-    held = 0
-    for rows, cols in jobs:
-        if same and rows[0] >= min(cols.stop, len(y)):
-            continue
-        s = x[rows] @ y[cols].T
-        at = np.arange(cols.start, cols.start + s.shape[1])
-        if same and rows[-1] >= cols.start:
-            s[rows[:, None] >= at] = -3
-        hit = s >= np.float32(min(fx[rows].min(), fy[at].min()) - SLACK)
-        if np.count_nonzero(hit) > k * (len(rows) + len(at)):
-            for t, f, ids in ((s, fx, rows), (s.T, fy, at)):
-                many = np.nonzero((t >= f[ids, None] - SLACK).sum(axis=1) > k)[0]
-                if len(many):
-                    kth = np.partition(t[many], t.shape[1] - k, axis=1)[:, t.shape[1] - k]
-                    f[ids[many]] = np.maximum(f[ids[many]], kth - SLACK)
-            hit = s >= np.minimum(fx[rows, None], fy[at]) - SLACK
-        i, j = np.divmod(np.flatnonzero(hit), len(at))
-        dots, i, j = s[i, j], rows[i], at[j]
-        true = (dots >= np.minimum(fx[i], fy[j]) - SLACK) & (dots > -2)
-        i, j = i[true], j[true]
-        for a in range(0, len(i), 100_000):
-            p, r = i[a : a + 100_000], j[a : a + 100_000]
-            found.append((p, r, _cosine(x[p], y[r])))
-            held += len(p)
-        if held > 2_000_000:
-            found = [_best(ux, uy, found, k, same)]
-            held = len(found[0][0])
-    if not found:
-        return ux[:0], uy[:0], np.zeros(0)
-    i, j, cosine = _best(ux, uy, found, k, same)
-    return ux[i], uy[j], cosine
-
-
-def _best(ux: np.ndarray, uy: np.ndarray, found: list[tuple], k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs (i, j, cosine), those among the k best of i or of j; equal cosines by key."""
-    i, j, cosine = (np.concatenate([f[n] for f in found]) for n in range(3))
-    n = len(i)
-    own = np.concatenate([i, j if same else j + len(ux)])
-    order = np.lexsort((np.concatenate([uy[j], ux[i]]), -np.concatenate([cosine, cosine]), own))
-    first = np.concatenate([[True], np.diff(own[order]) > 0])
-    place = np.arange(2 * n) - np.maximum.accumulate(np.where(first, np.arange(2 * n), 0))
-    keep = np.zeros(n, dtype=bool)
-    keep[order[place < k] % n] = True
-    return i[keep], j[keep], cosine[keep]
-
-
-def _finish(k: int):  # noqa: ANN202
-    """The function that meets two blocks."""
-
-    def finish(cols: dict[str, list]) -> dict[str, list]:
-        out: list[tuple] = []
-        for row in range(len(cols["block_x"])):
-            read = lambda name, kind: np.frombuffer(cols[name][row], dtype=kind)  # noqa: B023, E731
-            ux, uy = read("uids_x", np.int64), read("uids_y", np.int64)
-            x, y = read("units_x", np.float32).reshape(len(ux), -1), read("units_y", np.float32).reshape(len(uy), -1)
-            out.append(meet_exactly(ux, x, read("floors_x", np.float64), uy, y, read("cells_y", np.int32), read("floors_y", np.float64), k))
-        return {name: np.concatenate([o[n] for o in out]) for n, name in enumerate(("a", "b", "cosine"))}
-
-    return finish
+        got = best_of_block(
+            q, items["uid"].to_numpy(), read(items, "unit", np.float32), read(items, "codes", np.uint16).astype(np.int64), items["norm"].to_numpy(), items["fit"].to_numpy(),
+            queries["asks"].to_numpy(), y, k, least,
+        )
+        return pa.table([pa.array(g, f.type) for g, f in zip(got, out)], schema=out)
+
+    return meet
 
 
 def similar_vectors(
-    df: DataFrame, key: str, vector: str, k: int = 5, least: float | None = None, dim: int = 64, dim_column: str | None = None, probes: int = PROBES
-) -> DataFrame:
+    df: DataFrame, key: str, vector: str, k: int = 5, least: float | None = None, dim: int = 64, dim_column: str | None = None,
+    meet: float = MEET, sample: int = SAMPLE, cells: int = CELLS, cell_size: int = CELL_SIZE,
+) -> DataFrame:
     """(uid, other, rank, cosine): for every vector its k most similar other vectors, of at least the cosine `least` if given.
 
     Vectors that are NULL, of another size, not finite or all zero take no part. Equal vectors are searched once and take each other
     first, so that a great group of copies costs a row each; equal cosines rank by key. A key that comes several times should come
-    with one vector. Fewer than k come out only where fewer exist. `probes` changes what the exact meeting starts from, not the result.
+    with one vector. Fewer than k come out only where fewer are met.
+
+    `meet` is the share of neighbours that a search from one side should meet, and decides how many cells each region looks into; a
+    pair found from either side counts for both. meet=1 looks into all cells and is exact, its time square in the vectors. All else is
+    exact as well: cells have no cap, those of many vectors meet block by block.
     """
     vectors = usable(df, key, vector, dim_column, dim).distinct()
     classes = stored(vectors.groupBy("v").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies")), "vectors")
     members = vectors.join(classes.where("copies > 1").select("v", F.col("uid").alias("rep")), "v").select("rep", "uid")
     n = classes.count()
-    empty = "uid long, other long, rank int, cosine double"
     if n == 0:
-        return df.sparkSession.createDataFrame([], empty)
-    q, depth = fit(classes, n)
-    encoded = stored(_encoded(classes.select("uid", "v"), q, depth, probes), "codes")
-
-    # How many blocks of items and of queries each cell has; a row per cell, so at most CELLS * 256 rows.
-    looks = encoded.select("uid", "rounded", F.posexplode("cells").alias("nth", "cell"))
-    sizes = encoded.select(F.posexplode("cells").alias("nth", "cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("asked"), F.sum(F.when(F.col("nth") == 0, 1).otherwise(0)).alias("held"))
-    sizes = sizes.where("held > 0").select("cell", F.ceil(F.col("held") / BLOCK).cast("long").alias("bi"), F.ceil(F.col("asked") / BLOCK).cast("long").alias("bq"))
-    sizes = F.broadcast(sizes)
-    items = encoded.select("uid", "unit", "codes", "norm", F.col("cells")[0].alias("cell")).join(sizes, "cell")
-    items = items.select(F.col("uid").alias("uid"), "unit", "codes", "norm", F.col("cell").alias("cell"), F.pmod(F.xxhash64("uid"), F.col("bi")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bq") - 1)).alias("j"))
-    asking = looks.select("uid", "rounded", "cell").join(sizes, "cell")
-    asking = asking.select(F.col("uid").alias("asks"), F.col("rounded").alias("rounded"), F.col("cell").alias("cell"), F.pmod(F.xxhash64("uid"), F.col("bq")).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("bi") - 1)).alias("i"))
-    met = items.groupBy("cell", "i", "j").cogroup(asking.groupBy("cell", "i", "j")).applyInArrow(_meet(q, least, k), "uid long, other long, near float")
-    # A pair that one of the two found counts for both.
-    met = met.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct()
-    if least is None:
-        met = stored(met, "met")
+        return df.sparkSession.createDataFrame([], "uid long, other long, rank int, cosine double")
+    known = fit(classes, n, k, least, sample, cells, cell_size, BOOKS, meet)
+    encoded = stored(_encoded(classes.select("uid", "v"), known), "codes")
+
+    # How many blocks of items and of queries each cell has: a row per cell, so at most CELLS * SECOND rows.
+    looks = encoded.select("uid", "half", F.posexplode("cells").alias("nth", "cell"))
+    sizes = encoded.select(F.posexplode("cells").alias("nth", "cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("asked"), F.count_if(F.col("nth") == 0).alias("held"))
+    sizes = F.broadcast(sizes.where("held > 0").select("cell", F.ceil(F.col("held") / ITEMS).cast("int").alias("bi"), F.ceil(F.col("asked") / ASKED).cast("int").alias("bq")))
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    mine = lambda blocks: F.pmod(F.xxhash64("uid"), F.col(blocks)).cast("int")
+    items = encoded.select("uid", "unit", "codes", "norm", "fit", F.col("cells")[0].alias("cell")).join(sizes, "cell")
+    items = items.select("uid", "unit", "codes", "norm", "fit", "cell", mine("bi").alias("i"), each("bq").alias("j"))
+    asking = looks.join(sizes, "cell").select(F.col("uid").alias("asks"), "half", "cell", mine("bq").alias("j"), each("bi").alias("i"))
+    met = items.groupBy("cell", "i", "j").cogroup(asking.groupBy("cell", "i", "j")).applyInArrow(_meet(known.quantizer, least, k), "uid long, other long, near float")
+
+    # The k best over all cells, as far as rounded cosines can tell; a pair that one of the two found counts for both.
+    by = W.partitionBy("uid")
+    met = met.withColumn("r", F.row_number().over(by.orderBy(F.desc("near"), "other"))).withColumn("kth", F.max(F.when(F.col("r") == k, F.col("near"))).over(by))
+    met = met.where(F.coalesce(F.col("near") >= F.col("kth") - 2 * ROUNDING, F.lit(True))).select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct()
     unit = encoded.select("uid", "unit")
     pairs = met.join(unit.withColumnsRenamed({"uid": "a", "unit": "ua"}), "a").join(unit.withColumnsRenamed({"uid": "b", "unit": "ub"}), "b")
     exact = map_batches(pairs, _cosines, "a long, b long, cosine double")
     if least is not None:
         exact = exact.where(F.col("cosine") >= least)
     end = lambda a, b: F.struct(F.col(a).alias("rep"), F.col(b).alias("to"), "cosine")
-    ends = lambda pairs: pairs.select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("e.*")
-    best = lambda pairs: ends(pairs).withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("cosine"), "to"))).where(F.col("r") <= k)
-    floors = best(exact).where(F.col("r") == k).select(F.col("rep").alias("uid"), F.col("cosine").alias("floor"))
-    blocks = stored(_blocks(encoded.join(floors, "uid", "left"), n, -2.0 if least is None else least), "blocks")
-    both = blocks.select([F.col(c).alias(f"{c}_x") for c in blocks.columns]).join(blocks.select([F.col(c).alias(f"{c}_y") for c in blocks.columns]), F.col("block_x") <= F.col("block_y"))
-    whole = map_batches(both, _finish(k), "a long, b long, cosine double")
-    if least is not None:
-        whole = whole.where(F.col("cosine") >= least)
-    near = best(whole).drop("r")
+    near = exact.select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("e.*")
+    near = near.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("cosine"), "to"))).where(F.col("r") <= k).drop("r")
 
     # Copies: the first k + 1 of a class stand for it as neighbours.
     lead = members.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("uid"))).where(F.col("r") <= k + 1).select(F.col("rep").alias("to"), F.col("uid").alias("other"))
@@ -298,15 +301,10 @@ def similar_vectors(
     return ranked.select("uid", "other", rank.alias("rank"), "cosine").where(F.col("rank") <= k)
 
 
-def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    x, y = x.astype(np.float64), y.astype(np.float64)
-    return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-
-
 def _cosines(cols: dict[str, list]) -> dict[str, list]:
-    x = np.frombuffer(b"".join(cols["ua"]), dtype=np.float32).reshape(len(cols["a"]), -1)
-    y = np.frombuffer(b"".join(cols["ub"]), dtype=np.float32).reshape(len(cols["b"]), -1)
-    return {"a": cols["a"], "b": cols["b"], "cosine": _cosine(x, y).tolist()}
+    x = np.frombuffer(b"".join(cols["ua"]), dtype=np.float32).reshape(len(cols["a"]), -1).astype(np.float64)
+    y = np.frombuffer(b"".join(cols["ub"]), dtype=np.float32).reshape(len(cols["b"]), -1).astype(np.float64)
+    return {"a": cols["a"], "b": cols["b"], "cosine": ((x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))).tolist()}
 
 
 def similar_pairs(found: DataFrame) -> DataFrame:
