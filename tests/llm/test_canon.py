@@ -1,5 +1,8 @@
 """Canonical text: one form for what looks alike, differences kept."""
 
+import random
+import unicodedata
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +12,9 @@ from vellum.llm import canon
 ALIKE = [
     ("ＡＢ１２", "AB12"), ("école", "école"), ("a b 　c", "a b c"), ("fa​rm﻿", "farm"), ("pаper", "paper"), ("ﬁeld", "field"),
     ("ज़", "ज़"), ("كي", "کی"), ("𝟏𝟐", "12"), ("ئ", "ئ"), ("ο​n", "on"), ("अा", "आ"), ("a‍́", "á"), (" x ", "x"),
+    ("ρυɡѵ", "pugv"), ("ꓐꓳꓫ", "BOX"), ("आॅ", "ऑ"), ("ی\u200bٔ", "ئ"), ("а́", "á"),
 ]
+HIDDEN = "\u200b\u00ad\u200d\u2060\ufe0f\ufeff\U000e0101"
 DIFFERENT = [("A", "a"), ("e", "é"), ("x2", "x²"), ("1", "①"), ("H2", "H₂"), ("½", "1/2"), ("a b", "a, b"), ("naive", "naïve"), ("tm", "™"), ("ab", "a b")]
 
 
@@ -23,10 +28,25 @@ def test_different(a, b):
     assert canon.canonical(a) != canon.canonical(b)
 
 
-def test_mapping_has_no_chain_and_keeps_visible_signs():
-    table = canon.mapping()
-    assert all(c not in table for v in table.values() for c in v)
-    assert not {"²", "₂", "①", "½", "™"} & set(table)
+def test_tables_have_no_chain_and_keep_visible_signs():
+    t = canon.transducer()
+    assert all(t.spell.get(c, c) == c for v in t.spell.values() for c in v)
+    assert not {"²", "₂", "①", "½", "™"} & set(t.spell)
+    assert all(canon.canonical(canon.canonical(chr(o))) == canon.canonical(chr(o)) for block in canon.BLOCKS for o in block)
+
+
+def test_a_hundred_thousand_strings_are_stable_and_blind_to_what_is_invisible():
+    rng = random.Random(7)
+    marks = [chr(o) for o in range(0x300, 0x1E00) if unicodedata.category(chr(o))[0] == "M"]
+    letters = "aeonAｅﬁаеνكيیەہاअआएकनरयडोेौॉॅा़्ँैُِّٔ각가ｶﾞ.-1１ \u00a0"
+    for _ in range(100_000):
+        text = "".join(rng.choice(letters) if rng.random() < 0.7 else rng.choice(marks) for _ in range(rng.randint(1, 6)))
+        form = canon.canonical(text)
+        assert canon.canonical(form) == form, ascii(text)
+        at = rng.randint(0, len(text))
+        assert canon.canonical(text[:at] + rng.choice(HIDDEN) + text[at:]) == form, ascii(text)
+        assert canon.canonical(HIDDEN[0].join(text)) == form, ascii(text)
+        assert canon.canonical(unicodedata.normalize("NFD", text)) == canon.canonical(unicodedata.normalize("NFC", text)) == form, ascii(text)
 
 
 @settings(max_examples=300, deadline=None)
