@@ -1,7 +1,9 @@
 """Languages and reading levels: held-out accuracy on texts made here, and the edges."""
 
+import math
 import os
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -59,7 +61,34 @@ def test_forward_sums_all_segmentations():
     pieces = {b" ": 0, b"a": 1, b"b": 2, b"ab": 3, b" a": 4}
     fitted = lang.fit_pieces({"ab": 10, "a": 5}, pieces)
     assert abs(sum(fitted.values()) - 1) < 1e-9 and all(v >= 0 for v in fitted.values())
-    assert {(i, j) for i, j, _ in lang.edges("ab", pieces)} == {(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)}
+    assert {(i, j) for i, j, _ in lang.edges("ab", pieces, lang.beginnings(pieces))} == {(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)}
+
+
+def test_long_words_are_scored_whole(model):
+    long = "rivière" * 30 + "the" * 40
+    es, n = lang.edges(long, model.pieces, model.heads), len(long.encode()) + 1
+    for m in range(4):
+        total = sum_exactly(es, n, model.prob[:, m])
+        want = math.log(total.numerator) - math.log(total.denominator)
+        assert abs(lang.log_forward(es, n, [math.log(p) for p in model.prob[:, m]]) - want) < 1e-6
+    assert model.score("a" * 200 + "é").shape == (len(lang.MODELS),)
+    assert not (model.score("school" * 40) == model.score("school" * 10 + "école" * 30)).all()
+
+
+def sum_exactly(es, n, prob):
+    ahead = [Fraction(0)] * (n + 1)
+    ahead[0] = Fraction(1)
+    for i, j, p in es:
+        ahead[j] += ahead[i] * Fraction(float(prob[p]))
+    return ahead[n]
+
+
+def test_the_sample_takes_each_text_once(spark, model):
+    rng = random.Random(9)
+    rows = [(text(rng, c, 60), c) for c in ALL for _ in range(30)]
+    many = rows + [(rows[0][0], "en")] * 3000
+    a, b = (lang.fit(spark.createDataFrame(r, "text string, lang string")) for r in (rows, many))
+    assert a.pieces == b.pieces and (a.prob == b.prob).all()
 
 
 def test_found(spark, model):

@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import functools
 import math
+import os
 import re
 from collections import Counter
 
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from vellum.llm.canon import canonical
 from vellum.llm.common import map_batches, words
 
-#: The vocabulary's file; it is read on the driver only.
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: The vocabulary's file, from VELLUM_VOCABULARY where that is set; it is read on the driver only.
+VOCABULARY = os.environ.get("VELLUM_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Labelled records and distinct words that a language's model is fitted on, passes of expectation maximisation.
 SAMPLE, WORDS, PASSES = 400, 3000, 3
 #: Characters a language must fill to count, and words a chunk must have.
@@ -84,21 +85,42 @@ def vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
     return ranks
 
 
-def edges(word: str, pieces: dict) -> list[tuple[int, int, int]]:
+def beginnings(pieces: dict) -> set[bytes]:
+    """All beginnings of the pieces, so that a search for them can end where none goes on."""
+    return {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+
+
+def edges(word: str, pieces: dict, heads: set[bytes]) -> list[tuple[int, int, int]]:
     """(start, end, piece) of every piece that occurs in the word with a blank before it, in order of start."""
     raw, out = b" " + word.encode("utf-8", "replace"), []
     for i in range(len(raw)):
-        for j in range(i + 1, min(len(raw), i + 24) + 1):
-            p = pieces.get(raw[i:j])
+        for j in range(i + 1, len(raw) + 1):
+            part = raw[i:j]
+            if part not in heads:
+                break
+            p = pieces.get(part)
             if p is not None:
                 out.append((i, j, p))
     return out
 
 
+def log_forward(es: list[tuple[int, int, int]], n: int, logs: list[float]) -> float:
+    """The logarithm of the sum over all segmentations of their probabilities, for words whose probability is too small to be held."""
+    ahead = [-math.inf] * (n + 1)
+    ahead[0] = 0.0
+    for i, j, p in es:
+        x, y = ahead[i] + logs[p], ahead[j]
+        if x > y:
+            x, y = y, x
+        ahead[j] = y + math.log1p(math.exp(x - y)) if x > -math.inf else y
+    return ahead[n]
+
+
 def fit_pieces(counts: dict[str, int], pieces: dict[bytes, int], passes: int = PASSES) -> dict[int, float]:
     """Piece probabilities that make the counted words likely: expectation maximisation over all segmentations."""
     top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:WORDS]
-    lattice = [(edges(w, pieces), len(w.encode("utf-8", "replace")) + 1, math.sqrt(c)) for w, c in top]
+    heads = beginnings(pieces)
+    lattice = [(edges(w, pieces, heads), len(w.encode("utf-8", "replace")) + 1, math.sqrt(c)) for w, c in top]
     prob: dict[int, float] = {}
     for es, _, c in lattice:
         for i, j, p in es:
@@ -141,6 +163,7 @@ class Model:
     def _ready(self) -> None:
         self.ids: dict[str, int] = {}
         self.scores = np.zeros((1024, len(MODELS)))
+        self.heads = beginnings(self.pieces)
         self.rows = [tuple(map(float, r)) for r in self.prob]
         self.of_script = {s: [i for i, (_, x) in enumerate(MODELS) if x == s] for s in SCRIPTS}
 
@@ -165,13 +188,13 @@ class Model:
         if len(mine) == 1:
             out[mine[0]] = -1.0
             return out
-        es, n = edges(word[:60], self.pieces), len(word[:60].encode("utf-8", "replace")) + 1
+        es, n = edges(word, self.pieces, self.heads), len(word.encode("utf-8", "replace")) + 1
         for m in mine:
             ahead = [0.0] * (n + 1)
             ahead[0] = 1.0
             for i, j, p in es:
                 ahead[j] += ahead[i] * self.rows[p][m]
-            out[m] = math.log(max(ahead[n], 1e-300)) if ahead[n] > 0 else -690.0
+            out[m] = math.log(ahead[n]) if ahead[n] > 1e-250 else log_forward(es, n, np.log(self.prob[:, m]).tolist())
         best = out[mine].max()
         out[mine] = np.maximum(out[mine] - best, -8.0)  # one odd word decides nothing
         return out
@@ -272,14 +295,23 @@ def _best_path(each: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", vocabulary_path: str = VOCABULARY, sample: int = SAMPLE) -> Model:
-    """Fit the models on at most `sample` labelled records of each language, of 200 to 20,000 characters, chosen by a hash of the text.
+    """Fit the models on at most `sample` labelled texts of each language, of 200 to 20,000 characters, chosen by a hash of the text.
 
-    Labels can be wrong: after a first fit, records that another model explains better leave the sample.
+    A text counts once, however often it comes. How many there are of a language sets a bound on the hash before anything is shuffled,
+    so that what is ranked does not grow with the table. Labels can be wrong: after a first fit, records that another model explains
+    better leave the sample.
     """
+    codes = sorted(set(NAMES.values()))
     lang = named(F.col(label))
-    usable = labelled.select(F.col(text).alias("t"), lang.alias("l")).where(lang.isin(*sorted(set(NAMES.values()))) & F.length(text).between(200, 20_000))
-    nth = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("t")))
-    rows = usable.withColumn("n", nth).where(F.col("n") <= sample).select("l", "t").collect()
+    usable = labelled.select(F.col(text).alias("t"), lang.alias("l")).where(lang.isin(*codes) & F.length(text).between(200, 20_000))
+    usable = usable.select("l", "t", F.xxhash64("t").alias("h"))
+    texts = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    bound = F.lit(0)
+    for code, n in texts.items():
+        bound = F.when(F.col("l") == code, math.ceil(1_000_000 * min(1.0, 2 * sample / max(1, n)))).otherwise(bound)
+    low = usable.where(F.pmod("h", F.lit(1_000_000)) < bound).dropDuplicates(["l", "h"])
+    nth = F.row_number().over(W.partitionBy("l").orderBy("h", "t"))
+    rows = low.withColumn("n", nth).where(F.col("n") <= sample).select("l", "t").collect()
     records = [(r["l"], _WORD.findall(canonical(r["t"]).lower())) for r in sorted(rows, key=lambda r: (r["l"], r["t"]))]
     return fit_records(records, vocabulary(vocabulary_path))
 
