@@ -42,12 +42,25 @@ def test_defects_and_repair(spark):
 
 
 def test_own_hyphens_stay():
-    forms = {"seed-coat", "-sur-oline", "well-known"}
+    forms = scans.Forms(["seed-coat", "-sur-oline", "well-known"])
     assert scans._own_hyphen("seed", "coat.", forms) and scans._own_hyphen("Kehara", "sur-Oline", forms) and scans._own_hyphen("well", "", forms)
-    assert not scans._own_hyphen("evapor", "ation", forms)
+    assert not scans._own_hyphen("evapor", "ation", forms) and not scans._own_hyphen("", "", forms) and not scans._own_hyphen("-sur", "", forms)
+    assert scans._own_hyphen("5eed", "coat", forms) and scans._own_hyphen("we1l", "known", forms) and not scans._own_hyphen("we1l", "knows", forms)
     assert scans._reflow(["a seed-", "coat is a class-", "room", "", "next"], {0: False, 1: True}, {}) == "a seed-coat is a classroom\n\nnext"
 
 
+def test_long_running_lines_and_words_of_two_letters(spark):
+    rng = random.Random(6)
+    line = "The long and winding title of this book about all the rivers and the coasts of the world and of the villages by the sea"
+    pages = [page(rng, p, line, f"{p}", [(1, "the market 0f the village")] if p == 1 else [(1, "one of the markets of the river")]) for p in range(1, 7)]
+    prose = [page(rng, p, "the river runs by the old village and moves the water of the market" if p < 3 else f"own line {p}", f"{p}") for p in range(1, 7)]
+    rows = [(i, "b.pdf", [{"page_number": n + 1, "text": t} for n, t in enumerate(ps)]) for i, ps in enumerate((pages, prose))]
+    df = spark.createDataFrame(rows, "doc_id long, filename string, pages array<struct<page_number: int, text: string>>")
+    got = {tuple(r) for r in scans.page_defects(scans.repaired_scans(df)).collect()}
+    assert {p for d, p, k in got if d == 0 and k == "header"} == set(range(1, 7)) and (0, 1, "misread") in got
+    assert not [1 for d, p, k in got if d == 1 and k == "header" and p < 3]
+
+
 def test_evidence_by_joins_equals_broadcast(spark, monkeypatch):
     rng = random.Random(1)
     pages = [[page(rng, p, "x", f"{p}", [(1, "the rnarket is well-known"), (2, "and the peo-"), (3, "ple")] if i == 3 else [(1, "a well-known market")]) for p in (1, 2)] for i in range(40)]
@@ -76,6 +89,12 @@ def lesson(rng, area, n=6):
     return " ".join(f"The {rng.choice(TERMS[area])} near the {rng.choice(TERMS[area])} is described in the lesson of the day." for _ in range(n))
 
 
+def test_physics_is_no_sport(spark):
+    df = spark.createDataFrame([("Physics",), (" physical science",), ("Phys.",), ("PHYSICAL EDUCATION",), ("Scie.",), ("music",), (None,)], "s string")
+    keys = [list(topics.SUBJECTS)[r[0]] if r[0] >= 0 else None for r in df.select(topics.subject_key(topics.F.col("s"))).collect()]
+    assert keys == ["scie", "scie", "phys", "phys", "scie", None, None]
+
+
 def test_areas(spark):
     rng = random.Random(0)
     docs, labels, want = [], [], {}

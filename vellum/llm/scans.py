@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,6 +31,8 @@ CHAPTER_WORDS = ("chapter", "chapitre", "अध्याय", "प्रकर
 
 #: How many times as frequent a variant must be, and how often it must stand, for a word of plain letters and for one with signs or digits in it.
 RATIO, LEAST, ODD_RATIO, ODD_LEAST = 6, 4, 1, 2
+#: Characters of a line, and words of one without a page number beside it, beyond which it must recur on half of the pages to be a running line.
+LONG, LONG_ALONE = 90, 9
 #: Corrections and compounds one task holds at once; more are applied block after block.
 BLOCK = 400_000
 
@@ -85,7 +88,7 @@ def word_counts(scans: DataFrame, pages: str = "pages") -> DataFrame:
         for token, n in raw.items():
             if n > 0:
                 whole[clean_word(token)] += n
-        kept = [(w, n) for w, n in whole.items() if 1 < len(w) <= 60 and _LETTER.search(w)]
+        kept = [(w, n) for w, n in whole.items() if len(w) > 1 and _LETTER.search(w)]
         return {"word": [w for w, _ in kept], "count": [n for _, n in kept]}
 
     src = scans.select(F.transform(pages, lambda p: p["text"]).alias("_p"))
@@ -136,9 +139,10 @@ def _reaches(wrong: str, right: str, swaps: list[tuple[str, str]]) -> bool:
 def corrections(counts: DataFrame) -> DataFrame:
     """(word, correct): words that confusions of characters make of a far more frequent word, with the best ranked of those.
 
-    Fewer confusions rank before more, then more frequent words, then the alphabet.
+    Fewer confusions rank before more, then more frequent words, then the alphabet. So many words are a confusion away from one of two
+    letters that only a word with a digit or sign in it is taken for one, and only where that is far more frequent.
     """
-    words = counts.where(F.length("word").between(3, 60)).withColumn("hash", anagram_hash(F.col("word")))
+    words = counts.where(F.length("word") > 1).withColumn("hash", anagram_hash(F.col("word")))
     odd = F.col("word").rlike(_ODD.pattern)
     differences = _differences()
 
@@ -154,9 +158,9 @@ def corrections(counts: DataFrame) -> DataFrame:
     schema = "word string, n long, odd boolean, w1 string, r1 string, w2 string, r2 string, hash long"
     tried = map_batches(words.select("word", "count", "hash", odd.alias("odd")), shift, schema)
     frequent = words.where(~odd & (F.col("count") >= ODD_LEAST)).select("hash", F.col("word").alias("correct"), F.col("count").alias("m"))
-    met = tried.join(frequent, "hash").where(
-        F.when(F.col("odd"), (F.col("m") >= ODD_LEAST) & (F.col("m") >= F.col("n") * ODD_RATIO)).otherwise((F.col("m") >= LEAST) & (F.col("m") >= F.col("n") * RATIO))
-    )
+    many = (F.col("m") >= LEAST) & (F.col("m") >= F.col("n") * RATIO)
+    some = (F.col("m") >= ODD_LEAST) & (F.col("m") >= F.col("n") * ODD_RATIO)
+    met = tried.join(frequent, "hash").where(F.when(F.length("correct") == 2, F.col("odd") & many).when(F.col("odd"), some).otherwise(many))
 
     def verify(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"word": [], "correct": [], "steps": [], "m": []}
@@ -232,7 +236,7 @@ def _bodies(pages: list[dict], title: str | None) -> tuple[list[set[str]], list[
         makes.update({_make(t) for _, _, t in here if t and not t.endswith(_SENTENCE_END)})
 
     def running(text: str, alone: bool) -> bool:
-        if not text or len(text) > 90 or not _LETTER.search(text):
+        if not text or not _LETTER.search(text):
             return False
         s = skeleton(text)
         if wanted and s == wanted:
@@ -243,7 +247,8 @@ def _bodies(pages: list[dict], title: str | None) -> tuple[list[set[str]], list[
             return True
         if text.endswith(_SENTENCE_END):
             return False
-        return makes[_make(text)] >= 2 and (not alone or len(text.split()) <= 9)
+        long = len(text) > LONG or alone and len(text.split()) > LONG_ALONE
+        return makes[_make(text)] >= (max(3, len(pages) / 2) if long else 2)
 
     defects, bodies = [], []
     for lines, here in zip(split, edges):
@@ -272,7 +277,7 @@ def _cuts(bodies: list[list[str]], n: int) -> list[tuple[int, str, str]]:
     return [c for c in broken([*full, after] if after else full) if c[0] < len(full)]
 
 
-def read_scan(pages: list[dict], title: str | None, fixes: dict[str, str], forms: set[str]) -> tuple[list[list[str]], list[str]]:
+def read_scan(pages: list[dict], title: str | None, fixes: dict[str, str], forms: Forms) -> tuple[list[list[str]], list[str]]:
     """Defects of each page, and each page's repaired text."""
     defects, bodies = _bodies(pages, title)
     texts = []
@@ -300,16 +305,27 @@ def _fix(fixes: dict[str, str], token: str) -> str | None:
     return fixes.get(clean_word(token))
 
 
-def _own_hyphen(left: str, right: str, forms: set[str]) -> bool:
+class Forms:
+    """Compounds, to be looked up whole, by a beginning that ends before a hyphen, and by their skeleton."""
+
+    def __init__(self, forms: Iterable[str]) -> None:
+        self.whole = set(forms)
+        self.starts = {f[:i] for f in self.whole for i, c in enumerate(f) if c == "-" and i}
+        self.skeletons: dict[str, list[str]] = {}
+        for f in self.whole:
+            self.skeletons.setdefault(skeleton(f), []).append(f)
+
+
+def _own_hyphen(left: str, right: str, forms: Forms) -> bool:
     """Whether a word was cut at a hyphen of its own, by the evidence of words that stand within lines."""
     a, b = left.lstrip(_EDGE).lower(), right.rstrip(_EDGE + "!").lower()
     if not b:
-        return any(f.startswith(a + "-") for f in forms) if a else False
-    if f"{a}-{b}" in forms or f"-{b}" in forms:
+        return a in forms.starts
+    if f"{a}-{b}" in forms.whole or f"-{b}" in forms.whole:
         return True
     if _ODD.search(a + b):
-        s = skeleton(f"{a}-{b}")
-        return any(skeleton(f) == s for f in forms if f[0] == a[:1] or len(f) in range(len(a + b) - 1, len(a + b) + 4))
+        alike = forms.skeletons.get(skeleton(f"{a}-{b}"), ())
+        return any(f[0] == a[:1] or len(f) in range(len(a + b) - 1, len(a + b) + 4) for f in alike)
     return False
 
 
@@ -361,7 +377,7 @@ def repaired_scans(scans: DataFrame, titles: DataFrame | None = None, key: str =
         source = source.withColumn("_title", F.lit(None).cast("string"))
     schema = "item_id long, pages array<struct<page_number: int, defects: array<string>, text: string>>, full_text string"
     if fixes.count() + forms.count() <= BLOCK:
-        known = scans.sparkSession.sparkContext.broadcast(({r["word"]: r["correct"] for r in fixes.collect()}, {r["form"] for r in forms.collect()}))
+        known = scans.sparkSession.sparkContext.broadcast(({r["word"]: r["correct"] for r in fixes.collect()}, Forms(r["form"] for r in forms.collect())))
         return map_batches(source, _reader(known), schema)
     return map_batches(_with_evidence(source, fixes, forms), _reader(None), schema)
 
@@ -418,7 +434,7 @@ def _with_evidence(source: DataFrame, fixes: DataFrame, forms: DataFrame) -> Dat
         out: dict[str, list] = {"_k": [], "word": []}
         for k, pages, title, mine in zip(cols["_k"], cols["_p"], cols["_title"], cols["_forms"]):
             asked = _Asked()
-            read_scan([p for p in pages if p is not None], title, asked, set(mine or ()))
+            read_scan([p for p in pages if p is not None], title, asked, Forms(mine or ()))
             out["_k"] += [k] * len(asked.words)
             out["word"] += asked.words
         return out
@@ -439,7 +455,7 @@ def _reader(known):  # noqa: ANN001, ANN202
     def read(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"item_id": [], "pages": [], "full_text": []}
         for row, (k, pages, title) in enumerate(zip(cols["_k"], cols["_p"], cols["_title"])):
-            fixes, forms = known.value if known else (dict(cols["_fixes"][row] or ()), set(cols["_forms"][row] or ()))
+            fixes, forms = known.value if known else (dict(cols["_fixes"][row] or ()), Forms(cols["_forms"][row] or ()))
             pages = [p for p in pages if p is not None]
             defects, texts = read_scan(pages, title, fixes, forms)
             out["item_id"].append(k)

@@ -21,6 +21,8 @@ from vellum.llm.common import map_batches, stored, words
 AREAS = ("science", "mathematics", "history", "geography", "civics", "literature", "sport", "computing")
 # Subjects of the catalogue by their first four letters in lower case, and the areas they hold.
 SUBJECTS = {"scie": (0,), "math": (1,), "engl": (5,), "phys": (6,), "comp": (7,), "soci": (2, 3, 4)}
+# Beginnings of subjects that are science, though they begin as Physical Education does.
+NATURAL = ("physics", "physical s")
 #: A term's share of documents at least, documents at least, lift of its leading subject and standard deviations beyond chance.
 TERM_SHARE, TERM_DOCS, LIFT, SIGMA = 1e-4, 5, 1.8, 4.0
 #: Judged documents used at most, passes over all documents, prior of a document's topics, weight of the start against the documents.
@@ -33,11 +35,13 @@ _SENTENCE = re.compile(r"(?<=[.?!।۔؟])\s+|\n+")
 
 def subject_key(subject: Column) -> Column:
     """Number of the catalogue's subject that an untidy label names, -1 for none."""
-    low = F.substring(F.lower(F.trim(subject)), 1, 4)
-    out = F.lit(-1)
+    low = F.lower(F.trim(subject))
+    out = F
+    for name in NATURAL:
+        out = out.when(low.startswith(name), F.lit(0))
     for i, s in enumerate(SUBJECTS):
-        out = F.when(low == s, F.lit(i)).otherwise(out)
-    return F.coalesce(out, F.lit(-1))
+        out = out.when(F.substring(low, 1, 4) == s, F.lit(i))
+    return out.otherwise(F.lit(-1))
 
 
 def term_table(docs: DataFrame, text: str, subject: str) -> DataFrame:
