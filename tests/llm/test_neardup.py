@@ -71,6 +71,42 @@ def test_a_crowded_family_keeps_the_odds_of_a_small_one(spark, monkeypatch):
     assert len(want) > 1000 and len(want & got) >= 0.985 * len(want)
 
 
+def test_odds_do_not_depend_on_the_region(spark, monkeypatch):
+    """One template's records at a similarity of about 0.65: as many are found in crowded regions as in sparse ones."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for at in rng.sample(range(300), 12):
+            w[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(w)))
+    sets = {k: shingles(t, 3) for k, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "chunk_uid long, text string")
+    for region in (1000, 40):
+        monkeypatch.setattr(neardup, "REGION", region)
+        got = {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()}
+        assert got <= want and len(want) > 20_000 and len(got) >= 0.98 * len(want)
+
+
+def test_labels_sort_by_levels():
+    import numpy as np
+
+    a = neardup.shingle_hashes(neardup.word_hashes(" ".join(f"w{i}" for i in range(60))), 3)
+    b = neardup.shingle_hashes(neardup.word_hashes(" ".join(f"w{i}" for i in range(66))), 3)
+    x, y = (neardup.signature(s)[0] for s in (a, b))
+    both = (x >> neardup.TAIL) == (y >> neardup.TAIL)
+    assert 0 < both.sum() and (both | (x != y)).all() and len(np.unique(x)) == neardup.TREES
+
+
+def test_a_third_in_one_class_is_one_row_before_its_labels_are_spread(spark):
+    rows = [(i, "one text of many copies in the whole collection of texts") for i in range(3000)] + [(5000 + i, f"text {i} of its own with words {i} and {i + 1}") for i in range(30)]
+    recs = neardup.records(spark.createDataFrame(rows, "chunk_uid long, text string").repartition(3), "chunk_uid", "text", 5, 1)
+    assert recs.count() == 3030 and recs.where("labels is not null").count() < 100
+    assert neardup.regions(recs).groupBy("region", "cls").count().where("count > 1").isEmpty()
+
+
 def test_groups_one_row_per_record(spark):
     base = [f"w{i}" for i in range(200)]
     chain = [(i, " ".join(base[3 * i : 3 * i + 100])) for i in range(10)]  # neighbours alike, ends not

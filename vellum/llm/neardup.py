@@ -1,7 +1,9 @@
 """Near-duplicate records with small edits: an LSH forest over shingles of words.
 
-Every record gets several trees of min-hash labels. In a tree, records that share the label's prefix are neighbours, however many
-share it: the odds of a pair to meet depend on its similarity alone.
+Every record gets a label of min-hashes in each of several trees, packed so that numbers sort as labels do. In a tree's sorted order,
+the records that share a beginning with a record stand around it; such a run is found as a group of equal beginnings, so that no task
+needs the whole order. How many levels must agree depends on the region: few where few records share them, more where many do, but
+never so many that the odds of a pair to meet would depend on how crowded its region is.
 A sketch of one-bit min-hashes drops most chance neighbours where they meet; the rest is verified on the whole sets of shingles.
 """
 
@@ -19,8 +21,10 @@ from vellum.llm.common import map_batches, stored, words
 from vellum.llm.components import components
 
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 1
-#: Trees, levels of a label, and records of one region from which it is met block by block.
-TREES, START, REGION = 20, 3, 400
+#: Trees, levels of a label that agree in a sparse region and in a crowded one, and records from which a region is crowded.
+TREES, SHALLOW, DEEP, REGION = 20, 2, 3, 400
+#: Bits of a label for its levels beyond the first SHALLOW.
+TAIL = 24
 #: Bits of the sketch, and standard deviations below its mean at the least similarity from which a pair is dropped.
 BITS, MARGIN = 128, 4.5
 
@@ -73,59 +77,80 @@ def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return np.unique(_mix(acc))
 
 
-def signature(shingles: np.ndarray, trees: int = TREES, depth: int = START) -> tuple[np.ndarray, np.ndarray]:
-    """Of a set of shingles: labels by tree, and the sketch."""
-    a, b = _seeds(trees * depth + BITS)
+def signature(shingles: np.ndarray, trees: int = TREES) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set of shingles: the label in each tree, and the sketch. A label's high bits are its first SHALLOW levels, all bits are DEEP levels."""
+    a, b = _seeds(trees * DEEP + BITS)
     least = (shingles.astype(np.uint32)[:, None] * a + b).min(axis=0).astype(np.uint64)
-    m = least[: trees * depth].reshape(trees, depth)
-    first = np.arange(1, trees + 1, dtype=np.uint64)
-    for i in range(depth):
-        first = _mix(first * _MIX + m[:, i])
-    sketch = np.packbits((_mix(least[trees * depth :]) & np.uint64(1)).astype(np.uint8))
-    return first.view(np.int64), sketch.view(np.int64)
+    m = least[: trees * DEEP].reshape(trees, DEEP)
+    label, head = np.arange(1, trees + 1, dtype=np.uint64), None
+    for i in range(DEEP):
+        label = _mix(label * _MIX + m[:, i])
+        head = label if i + 1 == SHALLOW else head
+    tail = np.uint64(TAIL)
+    label = head >> tail << tail | label >> (np.uint64(64) - tail)
+    sketch = np.packbits((_mix(least[trees * DEEP :]) & np.uint64(1)).astype(np.uint8))
+    return label.view(np.int64), sketch.view(np.int64)
 
 
 def records(df: DataFrame, key: str, text: str, size: int, least_words: int) -> DataFrame:
-    """(uid, cls, lead, shingles, first, s1, s2): one row per row with enough words; cls is the hash of its set of shingles.
-
-    lead is set on the first record of a class in each batch: only those need to be searched, so that copies stay where they are.
+    """(uid, cls, lead, shingles, labels, s1, s2): one row per row with enough words; cls is the hash of its set of shingles.
 
+    shingles, labels and sketch stand on the first record of a class in each batch only (lead), so that copies cost little.
     shingles holds 32 bits of each hash: two different shingles of one pair of records meet there about once in 10 ** 9 times.
     """
 
     def make(cols: dict[str, list]) -> dict[str, list]:
         import xxhash
 
-        out: dict[str, list] = {n: [] for n in ("uid", "cls", "lead", "shingles", "first", "s1", "s2")}
+        out: dict[str, list] = {n: [] for n in ("uid", "cls", "lead", "shingles", "labels", "s1", "s2")}
         seen: set[int] = set()
         for k, t in zip(cols["_k"], cols["_t"]):
             h = word_hashes(canonical(t))
             if len(h) < max(1, least_words):
                 continue
             s = shingle_hashes(h, size)
-            first, sketch = signature(s)
             cls = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-            for name, v in zip(out, (k, cls, cls not in seen, np.unique(s.astype(np.uint32)).view(np.int32), first, int(sketch[0]), int(sketch[1]))):
+            row: tuple = (None, None, None, None)
+            if cls not in seen:
+                labels, sketch = signature(s)
+                row = (np.unique(s.astype(np.uint32)).view(np.int32), labels, int(sketch[0]), int(sketch[1]))
+            for name, v in zip(out, (k, cls, cls not in seen, *row)):
                 out[name].append(v)
             seen.add(cls)
         return out
 
     src = df.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_t")).where("_k is not null and _t <> ''")
-    return map_batches(src, make, "uid long, cls long, lead boolean, shingles array<int>, first array<long>, s1 long, s2 long")
+    return map_batches(src, make, "uid long, cls long, lead boolean, shingles array<int>, labels array<long>, s1 long, s2 long")
+
+
+def regions(recs: DataFrame) -> DataFrame:
+    """(region, n, cls, s1, s2): the region of every class in every tree, with the number of its classes; classes alone in one are left out.
+
+    A region is the classes that agree in SHALLOW levels, or in DEEP levels where more than REGION agree in fewer. Copies become one
+    class before their labels are spread, and regions are counted by sums made before the shuffle.
+    """
+    classes = recs.where("lead").groupBy("cls").agg(F.first("labels").alias("labels"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    flat = classes.select("cls", "s1", "s2", F.explode("labels").alias("label")).withColumn("region", F.shiftright("label", TAIL))
+    several = lambda rows, by: rows.groupBy(F.col(by).alias("region")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shallow = flat.join(several(flat, "region"), "region")
+    sparse = shallow.where(F.col("n") <= REGION)
+    # The whole label as a number of its own: it must not be taken for the beginning of another.
+    crowded = shallow.where(F.col("n") > REGION).select("cls", "s1", "s2", F.xxhash64("label").alias("region"))
+    deep = crowded.join(several(crowded, "region"), "region")
+    columns = ("region", "n", "cls", "s1", "s2")
+    return sparse.select(*columns).union(deep.select(*columns))
 
 
 def candidates(recs: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: classes that are neighbours in some tree and whose sketches do not rule the similarity out."""
-    flat = recs.where("lead").select("cls", "s1", "s2", F.explode("first").alias("first"))
-    flat = flat.repartition("first").dropDuplicates(["first", "cls"])
-    held = flat.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("first"))).where("n > 1")
+    held = regions(recs)
     # A large region is met block by block: no task holds more than two blocks, and every pair of the region meets.
     blocks = F.ceil(F.col("n") / REGION).cast("int")
     region = held.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     region = region.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     least = (1 + similarity) / 2
     differ = int(BITS * (1 - least) + MARGIN * (BITS * least * (1 - least)) ** 0.5)
-    on = ["first", "lo", "hi"]
+    on = ["region", "lo", "hi"]
     x = region.select(*on, F.col("cls").alias("a"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("block").alias("bx"))
     y = region.select(*on, F.col("cls").alias("b"), F.col("s1").alias("y1"), F.col("s2").alias("y2"), F.col("block").alias("by"))
     near = F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2"))) <= differ
