@@ -84,8 +84,9 @@ def test_odds_do_not_depend_on_the_region(spark, monkeypatch):
     sets = {k: shingles(t, 3) for k, t in rows}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
     df = spark.createDataFrame(rows, "chunk_uid long, text string")
-    for region in (1000, 40):
+    for region, sent in ((1000, 0), (40, 200_000), (40, 0)):
         monkeypatch.setattr(neardup, "REGION", region)
+        monkeypatch.setattr(neardup, "MOST_SENT", sent)
         got = {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()}
         assert got <= want and len(want) > 20_000 and len(got) >= 0.98 * len(want)
 

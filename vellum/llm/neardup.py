@@ -23,8 +23,8 @@ from vellum.llm.components import components
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 1
 #: Trees, levels of a label that agree in a sparse region and in a crowded one, and records from which a region is crowded.
 TREES, SHALLOW, DEEP, REGION = 20, 2, 3, 400
-#: Bits of a label for its levels beyond the first SHALLOW.
-TAIL = 24
+#: Bits of a label for its levels beyond the first SHALLOW, and crowded regions that are sent to all tasks at most.
+TAIL, MOST_SENT = 24, 200_000
 #: Bits of the sketch, and standard deviations below its mean at the least similarity from which a pair is dropped.
 BITS, MARGIN = 128, 4.5
 
@@ -123,30 +123,32 @@ def records(df: DataFrame, key: str, text: str, size: int, least_words: int) ->
     return map_batches(src, make, "uid long, cls long, lead boolean, shingles array<int>, labels array<long>, s1 long, s2 long")
 
 
+def _crowds(rows: DataFrame, by: str) -> DataFrame:
+    """(by, n) of the values that more than REGION rows share, to be joined to the rows; sent to all tasks only where few enough."""
+    crowds = stored(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REGION), "crowds")
+    return F.broadcast(crowds) if crowds.count() <= MOST_SENT else crowds
+
+
 def regions(recs: DataFrame) -> DataFrame:
-    """(region, n, cls, s1, s2): the region of every class in every tree, with the number of its classes; classes alone in one are left out.
+    """(region, blocks, cls, s1, s2): the region of every class in every tree, and the blocks it is met in.
 
     A region is the classes that agree in SHALLOW levels, or in DEEP levels where more than REGION agree in fewer. Copies become one
-    class before their labels are spread, and regions are counted by sums made before the shuffle.
+    class before their labels are spread. Regions are counted by sums made before the shuffle, and only crowded ones are looked up.
     """
     classes = recs.where("lead").groupBy("cls").agg(F.first("labels").alias("labels"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    flat = classes.select("cls", "s1", "s2", F.explode("labels").alias("label")).withColumn("region", F.shiftright("label", TAIL))
-    several = lambda rows, by: rows.groupBy(F.col(by).alias("region")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shallow = flat.join(several(flat, "region"), "region")
-    sparse = shallow.where(F.col("n") <= REGION)
-    # The whole label as a number of its own: it must not be taken for the beginning of another.
-    crowded = shallow.where(F.col("n") > REGION).select("cls", "s1", "s2", F.xxhash64("label").alias("region"))
-    deep = crowded.join(several(crowded, "region"), "region")
-    columns = ("region", "n", "cls", "s1", "s2")
-    return sparse.select(*columns).union(deep.select(*columns))
+    flat = classes.select("cls", "s1", "s2", F.explode("labels").alias("label"))
+    head = F.shiftright("label", TAIL)
+    crowds = _crowds(classes.select(F.explode("labels").alias("label")).select(head.alias("head")), "head")
+    # A whole label gets a number of its own: it must not be taken for the beginning of another.
+    sure = flat.withColumn("head", head).join(crowds, "head", "left").select("cls", "s1", "s2", F.when(F.col("n").isNull(), F.col("head")).otherwise(F.xxhash64("label")).alias("region"), F.col("n").isNotNull().alias("deep"))
+    thick = _crowds(sure.where("deep").select("region"), "region")
+    return sure.join(thick, "region", "left").select("region", F.coalesce(F.ceil(F.col("n") / REGION), F.lit(1)).cast("int").alias("blocks"), "cls", "s1", "s2")
 
 
 def candidates(recs: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: classes that are neighbours in some tree and whose sketches do not rule the similarity out."""
-    held = regions(recs)
     # A large region is met block by block: no task holds more than two blocks, and every pair of the region meets.
-    blocks = F.ceil(F.col("n") / REGION).cast("int")
-    region = held.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    region = regions(recs).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     region = region.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     least = (1 + similarity) / 2
     differ = int(BITS * (1 - least) + MARGIN * (BITS * least * (1 - least)) ** 0.5)
