@@ -12,6 +12,7 @@ from vellum.operators import chunk as C
 from vellum.operators import evaluate as V
 from vellum.operators import gates as G
 from vellum.operators import index as I
+from vellum.operators import search
 from vellum.operators.search import build_ivf, ivf_lists, knn, knn_ivf
 from vellum.plans.answering import answer_questions
 
@@ -87,7 +88,7 @@ def test_knn_equals_brute_force(spark):
     assert knn(df.limit(0), q).count() == 0 and knn(df, q.limit(0)).count() == 0
 
 
-def test_ivf(spark):
+def test_ivf(spark, monkeypatch):
     _, df = vectors(spark)
     df = df.where("chunk_id < 300")
     q = df.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "q_id")
@@ -99,6 +100,10 @@ def test_ivf(spark):
     assert ivf_lists(623) == (62, 32) and ivf_lists(100) == (1, 1) and ivf_lists(5000) == (100, 32)
     with pytest.raises(ValueError):
         ivf_lists(0)
+    monkeypatch.setattr(search, "LIST_ROWS", 7)  # lists of several blocks
+    monkeypatch.setattr(search, "LIST_QUERIES", 4)
+    cut = {(r["q_id"], r["chunk_id"], r["rank"]) for r in knn_ivf(indexed, centroids, q, k=5, nprobe=len(centroids)).collect()}
+    assert cut == exact
 
 
 def summary(spark, **kw):
@@ -144,7 +149,7 @@ def test_validation(spark):
     rows = [("", "5", "x", "en"), ("short", "5", "x", "en"), ("long enough?", "4", "x", "en"), ("long enough?", "5", "", "en"), ("long enough?", "5", "x", "ur"), ("long enough?", "10", "x", "hi"), ("y" * 501, "5", "x", "en")]
     df = spark.createDataFrame(rows, "q string, c string, s string, l string").coalesce(1)
     got = [r["e"] for r in df.select(G.valid_question(F.col("q"), F.col("c"), F.col("s"), F.col("l")).alias("e")).collect()]
-    assert [g and g.split()[0] for g in got] == ["Question", "Question", "Valid", "Subject", "Language", None, "Question"]
+    assert got == ["question_missing", "question_short", "class_unknown", "subject_missing", "language_unknown", None, "question_long"]
 
 
 def test_evaluation(spark):
@@ -156,6 +161,29 @@ def test_evaluation(spark):
     assert [(r["n"], r["number"]) for r in V.unique_citations(c, "q", "n").orderBy("n").collect()] == [(0, 1), (2, 2)]
 
 
+def test_nearest_carries_the_best_over_batches_with_ties():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 3, size=(90, 4)).astype(float)
+    ids = rng.permutation(90)
+    best = search.Nearest(ids[:10], x[:10], 7, True)
+    for a in range(0, 90, 13):
+        best.add(ids[a : a + 13], x[a : a + 13])
+    got = list(zip(best.asked[best.query].tolist(), best.key.tolist()))
+    want = []
+    for i in range(10):
+        d = np.round(((x - x[i]) ** 2).sum(axis=1), 6)
+        want += [(int(ids[i]), k) for _, k in sorted((d[j], int(ids[j])) for j in range(90) if j != i)[:7]]
+    assert got == want
+
+
+def test_outcomes_by_subject_and_times(spark):
+    df = spark.createDataFrame([("a", True, 5, "2024-01-01 00:00:00", "2024-01-01 00:00:02"), ("a", False, 9, None, None), ("b", True, 9, None, None)], "s string, ok boolean, class int, x string, y string")
+    assert {tuple(r) for r in V.subject_outcomes(df, "s", F.col("ok")).collect()} == {("a", 1, 1, "FAILED"), ("b", 1, 0, "SUCCESS")}
+    assert V.cases_of_class(df, 9).count() == 2 and {tuple(r) for r in V.outcomes(df, "s").collect()} == {("a", 2), ("b", 1)}
+    times = df.select(F.col("x").cast("timestamp").alias("x"), F.col("y").cast("timestamp").alias("y"))
+    assert [r["s"] for r in times.select(V.seconds_between("x", "y").alias("s")).where("s is not null").collect()] == [2.0]
+
+
 def test_index_and_pipeline(spark, tmp_path):
     x = np.eye(4)
     rows = [(i, x[i % 2].tolist(), f"A sentence number {i} that is long enough to be cited here. " * 3, "5", "Science", "en", "3", None, "jesc103.pdf", [2, 4], 2) for i in range(6)]
@@ -165,7 +193,12 @@ def test_index_and_pipeline(spark, tmp_path):
     index = I.load_index(spark, str(tmp_path / "ix"))
     assert I.select_index(index, 5, "Science").count() == 6 and I.select_index(index, 5).count() == 6
     assert I.select_index(index, 10, "Science").count() == 0 and I.select_index(index, 5, "Science", "hi").count() == 0
-    q = spark.createDataFrame([(1, x[0].tolist(), "5", "Science", "en"), (2, x[2].tolist(), "5", "Science", "en"), (3, x[0].tolist(), "5", "History", "en"), (4, x[0].tolist(), "5", "Science", "hi")], "q_id long, embedding array<double>, class string, subject string, lang string")
-    out = {r["q_id"]: r for r in answer_questions(q, chunks, partition=("lang",), post_checks=True).collect()}
+    q = spark.createDataFrame([(1, x[0].tolist(), "5", "Science", "en"), (2, x[2].tolist(), "5", "Science", "en"), (3, x[0].tolist(), "5", "History", "en"), (4, x[0].tolist(), "5", "Science", "hi"), (5, None, "5", "Science", "en")], "q_id long, embedding array<double>, class string, subject string, lang string")
+    out = {r["q_id"]: r for r in answer_questions(q, chunks, post_checks=True).collect()}
     assert (out[1]["status"], out[1]["citation"]["page"], out[1]["citation"]["chapter"], out[1]["grounding_score"]) == ("success", "2-4", "Chapter 3", 0.9)
-    assert out[2]["rejection_type"] == "low_confidence" and out[3]["rejection_type"] == "off_topic" and out[4]["rejection_type"] == "low_confidence" and out[4]["retrieved_chunks"] == 0
+    assert {out[i]["rejection_type"] for i in (2, 3, 4)} == {"low_confidence"} and out[3]["retrieved_chunks"] == out[4]["retrieved_chunks"] == 0
+    assert (out[2]["reason"], out[2]["threshold"]) == ("confidence", 0.38) or (out[2]["reason"], out[2]["threshold"]) == ("relevance", 0.45)
+    assert "class 5, History" in out[3]["message"] and (out[5]["reason"], out[5]["status"], out[5]["gate_score"]) == ("error", "rejected", None)
+    pruned = I.asked_partitions(index, q.where("q_id = 1"))
+    assert pruned.count() == 6 and "subject_slug" in pruned._jdf.queryExecution().toString().split("PartitionFilters")[1][:300]
+    assert I.asked_partitions(index, q.where("q_id in (3, 4)")).count() == 0 and I.asked_partitions(index, q, most=1).count() == 6

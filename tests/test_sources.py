@@ -9,7 +9,7 @@ from vellum.__main__ import main
 from vellum.config import Settings
 from vellum.plans.answering import model_answers, prompts
 from vellum.plans.ingest import clean_documents, ingest
-from vellum.sources.catalog import catalog, scan_catalog
+from vellum.sources.catalog import catalog, first_folders, pick_subject, scan_catalog
 from vellum.sources.documents import TextPages, read_documents
 from vellum.sources.stages import append_feedback, read_stage, write_stage
 from vellum.streaming.feedback import feedback_stream, index_stream, windowed_outcomes
@@ -18,7 +18,7 @@ from vellum.streaming.feedback import feedback_stream, index_stream, windowed_ou
 def test_settings():
     s = Settings.from_env({"CHUNK_SIZE": "100", "USE_LLM": "true", "NPROBE": "8"})
     assert (s.chunk_size, s.use_llm, s.nprobe, s.chunk_overlap) == (100, True, 8, 50)
-    assert Settings(cors_origins="a, b").cors_origins_list == ["a", "b"]
+    assert Settings(languages="a, b").language_list == ["a", "b"]
 
 
 def test_read_documents(spark, tmp_path):
@@ -32,6 +32,19 @@ def test_read_documents(spark, tmp_path):
     assert rows["bad"]["error"] and rows["bad"]["total_pages"] == 0 and len(rows) == 2
 
 
+def test_what_is_no_text_is_refused():
+    for content in (b"%PDF-1.7 ...", b"a\0b"):
+        with pytest.raises(ValueError, match="reader"):
+            TextPages().pages(content)
+
+
+def test_first_folders_and_picked_subject(spark):
+    names = ("r/CLASS-IX/Science-English/a.pdf", "r/class-ix/Science-Hindi/b.pdf", "r/class-x/Science-Hindi/c.pdf", "r/class-x/Science-English/d.txt", "r/other/Science-English/e.pdf")
+    found = catalog(first_folders(spark.createDataFrame([(p,) for p in names], "path string")))
+    assert {(r["class"], r["language"], r["pdf_count"]) for r in found.collect()} == {(9, "English", 1), (10, "Hindi", 1)}
+    assert pick_subject(found, 9, "science", "EN").count() == 1 and pick_subject(found, 10, "Science", "en").count() == 0
+
+
 def test_catalog(spark, tmp_path):
     paths = ["CLASS-X/Science-English/a.pdf", "CLASS-X/Science-English/b.pdf", "CLASS-VI/Maths-Hindi/c.pdf", "CLASS V/Art-Urdu/d.pdf", "CLASS-X/nohyphen/e.pdf", "CLASS-IX/Art-Urdu/f.txt"]
     got = {(r["class"], r["subject"], r["lang_code"]): r["pdf_count"] for r in catalog(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}

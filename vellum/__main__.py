@@ -27,12 +27,13 @@ def main(argv: list[str] | None = None) -> int:
     load.add_argument("--subject", default="Science")
     load.add_argument("--lang", default="en")
     args = parser.parse_args(argv)
-    spark = SparkSession.builder.appName("vellum").getOrCreate()
+    spark = SparkSession.builder.appName(Settings.from_env().app_name).getOrCreate()
     if args.what == "catalog":
         scan_catalog(spark, args.root).orderBy("class", "subject", "language").show(1000, truncate=False)
         return 0
-    scans = read_documents(spark, args.folder, TextPages(), args.pattern, args.lang).withColumn("doc_id", F.xxhash64("pdf_path"))
-    chunks = ingest(scans.where("error is null"), Settings.from_env())
+    settings = Settings.from_env()
+    scans = read_documents(spark, args.folder, TextPages(), args.pattern, args.lang or settings.ocr_language, settings.ocr_dpi).withColumn("doc_id", F.xxhash64("pdf_path"))
+    chunks = ingest(scans.where("error is null"), settings)
     save_index(chunks.withColumns({"class": F.lit(args.klass), "subject": F.lit(args.subject), "lang": F.lit(args.lang)}), args.index, mode="append")
     return 0
 

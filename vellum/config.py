@@ -11,12 +11,7 @@ class Settings:
     """Defaults of every stage; from_env() takes upper-case names from the environment, e.g. CHUNK_SIZE."""
 
     app_name: str = "vellum"
-    log_level: str = "INFO"
-    data_dir: str = "data"
-    processed_data_dir: str = "processed_data"
-    vector_store_dir: str = "vector_store"
-    logs_dir: str = "logs"
-    cors_origins: str = "http://localhost:8080,http://localhost:3000,http://localhost:5500"
+    languages: str = "en,hi"
     embedding_dimension: int = 384
     batch_size: int = 64
     index_type: str = "IVF"
@@ -36,7 +31,6 @@ class Settings:
     llm_max_tokens: int = 1000
     ocr_dpi: int = 300
     ocr_language: str = "eng"
-    ocr_path: str = ""
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Settings:
@@ -50,6 +44,6 @@ class Settings:
         return cls(**found)
 
     @property
-    def cors_origins_list(self) -> list[str]:
-        """A comma-separated setting as a list of trimmed parts."""
-        return [x.strip() for x in self.cors_origins.split(",")]
+    def language_list(self) -> list[str]:
+        """A comma-separated setting as a list of trimmed parts: the languages that questions may be asked in."""
+        return [x.strip() for x in self.languages.split(",")]

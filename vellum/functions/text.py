@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space in the Unicode sense; the plain class of the regular expressions here is that of ASCII.
 WS = r"[\s\p{Z}\x{85}\x{1C}-\x{1F}]"
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once however often it is used: plain projections are merged into all their uses, also within lambdas."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, however often the expression reads it."""
     return F.transform(F.array(value), use)[0]
@@ -71,15 +76,19 @@ def structures(text: Column) -> Column:
 
 
 def _hits(text: Column, order: int, kind: str, pattern: str) -> Column:
-    """The hits of one marker: the i-th starts after the i + 1 parts and the i hits before it."""
+    """The hits of one marker in one fold: each starts where the last one ended and the part between them is passed."""
     hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    parts = F.split(text, pattern, -1)
+    between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    steps = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda n, m: F.struct(n.alias("gap"), m.alias("m")))
 
-    def one(m: Column, i: Column) -> Column:
-        start = F.length(F.array_join(F.slice(parts, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(hits, F.lit(1), i), ""))
-        return F.struct(start.alias("start_pos"), F.lit(order).alias("ord"), (start + F.length(m)).alias("end_pos"), F.lit(kind).alias("kind"), m.alias("marker"))
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        hit = F.struct(start.alias("start_pos"), F.lit(order).alias("ord"), (start + F.length(x["m"])).alias("end_pos"), F.lit(kind).alias("kind"), x["m"].alias("marker"))
+        return F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    return F.transform(hits, one)
+    empty = F.from_json(F.lit("[]"), "array<struct<start_pos: int, ord: int, end_pos: int, kind: string, marker: string>>")
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return F.when(text.isNotNull(), found)
 
 
 def filename_stem(path: Column) -> Column:

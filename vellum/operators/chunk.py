@@ -1,12 +1,14 @@
-"""Chunking of cleaned documents: by structure where markers are known, else by size with overlap."""
+"""Chunking of cleaned documents: by structure where markers are known, else by size with overlap.
+
+The chunks of a document are cut, stripped, sifted and numbered within one array, so that no text is shuffled.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.functions.text import bind, strip
+from vellum.functions.text import bind, once, strip
 
 LEAST_STRUCTURE = 50
 
@@ -37,46 +39,60 @@ def token_spans(text: Column, chunk_size: int = 500, chunk_overlap: int = 50) ->
     return F.when(n > 0, F.aggregate(rounds, start, step, lambda acc: acc["out"])).otherwise(empty)
 
 
-def _numbered(chunks: DataFrame, key: str) -> DataFrame:
-    """Position and number of chunks within each document, in the order of start and ordinal."""
-    by = W.partitionBy(key)
-    index = (F.row_number().over(by.orderBy("start_pos", "_ord")) - 1).cast("int")
-    return chunks.withColumn("chunk_index", index).withColumn("total_chunks", F.count(F.lit(1)).over(by).cast("int")).withColumn("chunk_id", F.col("chunk_index")).drop("_ord")
+def token_pieces(text: Column, chunk_size: int = 500, chunk_overlap: int = 50) -> Column:
+    """array<struct<start_pos, end_pos, structure_type, text>> of the chunks by size, blank ones left out."""
+
+    def piece(s: Column) -> Column:
+        body = strip(F.substring(text, s["start_pos"] + 1, s["end_pos"] - s["start_pos"]))
+        return F.struct(s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos"), F.lit(None).cast("string").alias("structure_type"), body.alias("text"))
+
+    return F.filter(F.transform(token_spans(text, chunk_size, chunk_overlap), piece), lambda p: p["text"] != "")
+
+
+def structure_pieces(text: Column, structures: Column, aligned_types: bool = False) -> Column:
+    """array<struct<start_pos, end_pos, structure_type, text>> of the segments between markers, short ones left out.
+
+    A segment has the kind of the structure of its own number, so that the text before the first marker has the first one's; with
+    aligned_types it has that of the marker it begins with.
+    """
+    bounds = F.concat(F.array(F.lit(0)), F.transform(structures, lambda x: x["start_pos"]), F.array(F.length(text)))
+    kinds, none = F.transform(structures, lambda x: x["kind"]), F.array(F.lit(None).cast("string"))
+    kinds = F.concat(none, kinds) if aligned_types else F.concat(kinds, none)
+
+    def piece(b: Column, i: Column) -> Column:
+        start, end = b, F.element_at(bounds, i + 2)
+        body = strip(F.substring(text, start + 1, F.greatest(end - start, F.lit(0))))
+        return F.struct(start.alias("start_pos"), end.alias("end_pos"), F.element_at(kinds, i + 1).alias("structure_type"), body.alias("text"))
+
+    return F.filter(F.transform(F.slice(bounds, F.lit(1), F.size(bounds) - 1), piece), lambda p: F.length(p["text"]) >= LEAST_STRUCTURE)
+
+
+def _chunks(df: DataFrame, pieces: Column, key: str, keep: tuple[str, ...]) -> DataFrame:
+    """A row for each piece: its place, text and size, its number and how many there are."""
+    # The outer form, as the inner one adds a filter for which all pieces would be cut a second time.
+    cut = once(df, "_p", pieces).select(key, *keep, F.size("_p").alias("total_chunks"), F.posexplode_outer("_p").alias("chunk_index", "_p")).where("chunk_index is not null")
+    return cut.select(
+        key, *keep, "_p.start_pos", "_p.end_pos", "_p.structure_type", "_p.text", F.length("_p.text").alias("char_count"), "chunk_index", "total_chunks", F.col("chunk_index").alias("chunk_id")
+    )
 
 
 def by_tokens(df: DataFrame, key: str, text: str, chunk_size: int = 500, chunk_overlap: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, start_pos, end_pos, text, char_count, token_count, chunk_index, total_chunks, chunk_id): chunks by size, blank ones left out."""
-    body = df.select(key, *keep, F.col(text).alias("_body"))
-    cut = body.select(key, *keep, "_body", F.posexplode(token_spans(F.col("_body"), chunk_size, chunk_overlap)).alias("_ord", "_s"))
-    piece = strip(F.substring("_body", F.col("_s.start_pos") + 1, F.col("_s.end_pos") - F.col("_s.start_pos")))
-    chunks = cut.select(key, *keep, "_ord", F.col("_s.start_pos").alias("start_pos"), F.col("_s.end_pos").alias("end_pos"), piece.alias("text")).where("text <> ''")
-    sized = chunks.withColumn("char_count", F.length("text")).withColumn("token_count", F.floor(F.length("text") / 4).cast("int"))
-    return _numbered(sized, key)
+    chunks = _chunks(df, token_pieces(F.col(text), chunk_size, chunk_overlap), key, keep).drop("structure_type")
+    return chunks.withColumn("token_count", F.floor(F.col("char_count") / 4).cast("int"))
 
 
 def by_structure(df: DataFrame, key: str, text: str, structures: str = "structures", aligned_types: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, start_pos, end_pos, structure_type, text, char_count, chunk_index, total_chunks, chunk_id): segments between markers.
 
-    structures is an array of structs with start_pos and kind in order of start. Segments of under 50 characters are left out. A
-    segment has the kind of the structure of its own number, so that the text before the first marker has the first one's; with
-    aligned_types it has that of the marker it begins with.
+    structures is an array of structs with start_pos and kind in order of start. Documents without any give no row. See structure_pieces().
     """
-    s = F.col(structures)
-    starts = F.transform(s, lambda x: x["start_pos"])
-    bounds = F.concat(F.array(F.lit(0)), starts, F.array(F.length(F.col(text))))
-    kinds = F.transform(s, lambda x: x["kind"])
-    kinds = F.concat(F.array(F.lit(None).cast("string")), kinds) if aligned_types else F.concat(kinds, F.array(F.lit(None).cast("string")))
-    body = df.select(key, *keep, F.col(text).alias("_body"), bounds.alias("_b"), kinds.alias("_k")).where(F.size("_b") > 2)
-    cut = body.select(key, *keep, "_body", "_b", F.posexplode("_k").alias("_ord", "structure_type"))
-    cut = cut.withColumn("start_pos", F.element_at("_b", F.col("_ord") + 1)).withColumn("end_pos", F.element_at("_b", F.col("_ord") + 2))
-    chunks = cut.withColumn("text", strip(F.substring("_body", F.col("start_pos") + 1, F.greatest(F.col("end_pos") - F.col("start_pos"), F.lit(0)))))
-    chunks = chunks.where(F.length("text") >= LEAST_STRUCTURE).drop("_body", "_b").withColumn("char_count", F.length("text"))
-    return _numbered(chunks, key)
-
-
-def chunk_documents(df: DataFrame, key: str = "doc_id", text: str = "cleaned_text", structures: str = "structures", chunk_size: int = 500, chunk_overlap: int = 50) -> DataFrame:
-    """Both ways in one schema: documents with structures by structure, all others by size."""
+    return _chunks(df.where(F.size(structures) > 0), structure_pieces(F.col(text), F.col(structures), aligned_types), key, keep)
+
+
+def chunk_documents(df: DataFrame, key: str = "doc_id", text: str = "cleaned_text", structures: str = "structures", chunk_size: int = 500, chunk_overlap: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Both ways in one pass and schema: documents with structures by structure, all others by size (only these have a token_count)."""
     has = F.coalesce(F.size(structures), F.lit(0)) > 0
-    a = by_structure(df.where(has), key, text, structures)
-    b = by_tokens(df.where(~has | has.isNull()), key, text, chunk_size, chunk_overlap)
-    return a.unionByName(b, allowMissingColumns=True)
+    pieces = F.when(has, structure_pieces(F.col(text), F.col(structures))).otherwise(token_pieces(F.col(text), chunk_size, chunk_overlap))
+    chunks = _chunks(df.withColumn("_has", has), pieces, key, ("_has", *keep))
+    return chunks.withColumn("token_count", F.when(~F.col("_has"), F.floor(F.col("char_count") / 4).cast("int"))).drop("_has")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +18,27 @@ def mode_distribution(results: DataFrame, mode: str, status: str = "status") ->
     return results.where(F.col(status) == "success").groupBy(F.col(mode).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def outcomes(calls: DataFrame, outcome: str) -> DataFrame:
+    """(outcome, n): calls by how they ended."""
+    return calls.groupBy(F.col(outcome).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cases_of_class(cases: DataFrame, class_number: int, klass: str = "class") -> DataFrame:
+    """The test cases of one class."""
+    return cases.where(F.col(klass) == class_number)
+
+
+def subject_outcomes(processed: DataFrame, subject: str, succeeded: Column) -> DataFrame:
+    """(subject, succeeded, failed, outcome): what became of each subject; one failure makes it FAILED."""
+    out = processed.groupBy(F.col(subject).alias("subject")).agg(F.count_if(succeeded).alias("succeeded"), F.count_if(~succeeded).alias("failed"))
+    return out.withColumn("outcome", F.when(F.col("failed") == 0, "SUCCESS").otherwise("FAILED"))
+
+
+def seconds_between(start: str, end: str) -> Column:
+    """Seconds from one time to another, NULL where one is missing."""
+    return (F.unix_micros(F.col(end)) - F.unix_micros(F.col(start))) / 1e6
+
+
 def latency(results: DataFrame, seconds: str, by: str | None = None) -> DataFrame:
     """(by, n, avg_s, min_s, max_s)."""
     grouped = results.groupBy(by) if by else results.groupBy()

@@ -28,11 +28,14 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
 def select_index(index: DataFrame, class_number: int | None = None, subject: str | None = None, lang: str = "en") -> DataFrame:
     """The rows of one class, subject and language. Without a subject the first slug in order; no row where there is none, never another's.
 
-    A slug that already ends with its language is taken as it is. The predicates are on partition columns, so only those files are read.
+    Class 10 has one index for all subjects of a language, and a subject that ends with a language's name is taken as that index too.
+    The predicates are on partition columns, so only those files are read.
     """
     out = index.where(F.col("lang") == lang)
     if class_number is not None:
         out = out.where(F.col("class") == str(class_number))
+    if class_number == 10 or subject is not None and subject.startswith("all-subjects"):
+        return out
     if subject is not None:
         slug = subject.lower().replace(" ", "-").replace("and", "").strip("-")
         bare = slug.removesuffix("-english").removesuffix("-hindi")
@@ -42,7 +45,24 @@ def select_index(index: DataFrame, class_number: int | None = None, subject: str
 
 
 def index_path(class_number: Column, subject: Column, lang: Column) -> Column:
-    """Where a question's index lies: class 10 has one for all subjects of a language."""
-    whole = F.when(lang == "hi", "all-subjects-hindi").otherwise("all-subjects-english")
-    name = F.when(class_number == 10, whole).otherwise(F.concat(subject_slug(subject), F.lit("-"), lang))
-    return F.concat(F.lit("class-"), class_number.cast("string"), F.lit("/"), name)
+    """Where the index of a question or a chunk lies: class 10 has one for all subjects of a language."""
+    name = F.when(lang == "hi", "hindi").when(lang == "en", "english").otherwise(lang)
+    whole = F.concat(F.lit("all-subjects-"), name)
+    return F.concat(F.lit("class-"), class_number.cast("string"), F.lit("/"), F.when(class_number.cast("string") == "10", whole).otherwise(F.concat(subject_slug(subject), F.lit("-"), lang)))
+
+
+def asked_partitions(index: DataFrame, questions: DataFrame, most: int = 2000) -> DataFrame:
+    """The rows of a stored index that some question (class, subject, lang) can meet, by predicates on the partition columns.
+
+    The partitions asked for are no more than the catalogue has; beyond `most` of them all rows are returned, as pruning would gain little.
+    """
+    slug = F.when(F.col("class").cast("string") != "10", subject_slug(F.col("subject")))
+    asked = questions.select(F.col("class").cast("string").alias("c"), slug.alias("s"), F.col("lang").alias("l")).distinct().limit(most + 1).collect()
+    if len(asked) > most:
+        return index
+    wanted = F.lit(False)
+    for c, lang in sorted({(r["c"], r["l"]) for r in asked if r["c"] is not None and r["l"] is not None}):
+        mine = (F.col("class") == c) & (F.col("lang") == lang)
+        slugs = sorted({r["s"] for r in asked if (r["c"], r["l"]) == (c, lang) and r["s"] is not None})
+        wanted = wanted | (mine if c == "10" else mine & F.col("subject_slug").isin(slugs))
+    return index.where(wanted)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import Settings
 from vellum.functions.enrich import content_type, has_equations, has_questions, keyword_array
-from vellum.functions.text import clean_hindi_text, clean_text, devanagari_chars, devanagari_percentage, hindi_subject, series_chapter, structures, text_chapter, text_section
+from vellum.functions.text import clean_hindi_text, clean_text, devanagari_chars, devanagari_percentage, hindi_subject, once, series_chapter, structures, text_chapter, text_section
 from vellum.operators.chunk import chunk_documents
 from vellum.operators.encode import Encoder, HashingEncoder, embed
 
@@ -18,13 +18,14 @@ def clean_documents(scans: DataFrame, key: str = "doc_id") -> DataFrame:
     Hindi scans are cleaned in their own way and have no structures; class, subject and section have defaults where nothing is told.
     """
     hindi = F.lower(F.coalesce("lang", F.lit(""))).isin("hi", "hin", "hindi")
-    df = scans.withColumn("cleaned_text", F.when(hindi, clean_hindi_text(F.col("full_text"))).otherwise(clean_text(F.col("full_text"))))
+    df = once(scans, "cleaned_text", F.when(hindi, clean_hindi_text(F.col("full_text"))).otherwise(clean_text(F.col("full_text"))))
     none = F.lit(None).cast("array<struct<start_pos: int, ord: int, end_pos: int, kind: string, marker: string>>")
     told = F.nullif(F.nullif(F.col("chapter"), F.lit("Unknown")), F.lit(""))
     chapter = F.coalesce(told, text_chapter(F.col("cleaned_text")), series_chapter(F.col("filename")))
     subject = F.when(hindi, hindi_subject(F.col("filename"))).otherwise("Science")
+    df = once(df, "structures", F.when(hindi, none).otherwise(structures(F.col("cleaned_text"))))
     return df.select(
-        key, F.coalesce("full_text", F.lit("")).alias("original_text"), "cleaned_text", F.when(hindi, none).otherwise(structures(F.col("cleaned_text"))).alias("structures"),
+        key, F.coalesce("full_text", F.lit("")).alias("original_text"), "cleaned_text", "structures",
         F.struct(chapter.alias("chapter"), F.when(~hindi, text_section(F.col("cleaned_text"))).alias("section"), F.lit("10").alias("class"), subject.alias("subject"),
                  F.col("lang").alias("lang"), F.col("filename").alias("filename"), F.col("pages").alias("pages")).alias("metadata"),
         F.length(F.coalesce("full_text", F.lit(""))).alias("char_count_original"), F.length("cleaned_text").alias("char_count_cleaned"),
@@ -50,11 +51,13 @@ def page_columns(pages: str = "pages") -> dict:
     return {"page_numbers": numbers, "pdf_page_numbers": printed, "primary_page": F.get(numbers, F.lit(0))}
 
 
+#: What chunks carry on from their document.
+ABOUT = ("chapter", "section", "class", "subject", "lang", "filename", "page_numbers", "pdf_page_numbers", "primary_page")
+
+
 def ingest(scans: DataFrame, settings: Settings | None = None, encoder: Encoder | None = None, key: str = "doc_id") -> DataFrame:
-    """Encoded chunks of scans, ready for save_index()."""
+    """Encoded chunks of scans, ready for save_index(): one pass without a shuffle, as chunks carry their document's metadata with them."""
     s = settings or Settings()
-    cleaned = clean_documents(scans, key)
-    chunks = enrich(chunk_documents(cleaned, key, chunk_size=s.chunk_size, chunk_overlap=s.chunk_overlap))
-    about = cleaned.select(key, "metadata.chapter", "metadata.section", "metadata.class", "metadata.subject", "metadata.lang", "metadata.filename", F.col("metadata.pages").alias("_pages"))
-    about = about.withColumns(page_columns("_pages")).drop("_pages")
-    return embed(chunks.join(about, key), encoder or HashingEncoder(s.embedding_dimension), batch_size=s.batch_size)
+    docs = clean_documents(scans, key).select(key, "cleaned_text", "structures", "metadata.*").withColumns(page_columns())
+    chunks = enrich(chunk_documents(docs, key, chunk_size=s.chunk_size, chunk_overlap=s.chunk_overlap, keep=ABOUT))
+    return embed(chunks, encoder or HashingEncoder(s.embedding_dimension), batch_size=s.batch_size)

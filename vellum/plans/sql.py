@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.functions.answer import FILE_SUBJECTS, FOLLOW_UPS, HEADERS, REJECTIONS
+from vellum.functions.answer import FILE_SUBJECTS, FOLLOW_UPS, HEADERS, REJECTED, REJECTIONS, SYSTEM_PROMPTS, UNKNOWN_ANSWER, USER_PROMPTS
 from vellum.functions.enrich import CONTENT_TYPES, STOPWORDS
 from vellum.functions.text import MARKERS
 from vellum.operators.gates import PREFIXES
@@ -99,26 +99,31 @@ _KNN_OUT = 'SELECT q_id, vec_id, "rank", round(distance, 5) distance, round(scor
 _SUMMARY = """, s AS (SELECT q_id, count(*) hits, max(CASE WHEN "rank" = 1 THEN score END) top_score, avg(CASE WHEN "rank" <= 5 THEN score END) avg_top5, max(score) max_score,
         avg(score) avg_score, sum(length(coalesce(text, ''))) context_chars, sum(CASE WHEN "rank" <= 3 AND label <> q_label THEN 1 ELSE 0 END) mismatches
         FROM h LEFT JOIN documents ON doc_id = vec_id GROUP BY q_id)"""
-#: Gate: condition under which it rejects, type, stage, score.
+#: Gate: condition under which it rejects, type, score, threshold.
 _GATES = {
-    "relevance": ("hits > 0 AND top_score < 0.45", "low_confidence", "top_score"),
-    "subject": ("mismatches >= 2", "off_topic", "mismatches"),
-    "confidence": ("avg_top5 < 0.38", "low_confidence", "avg_top5"),
-    "context": ("hits < 1 OR context_chars < 100", "insufficient_context", "context_chars"),
-    "topic": ("max_score < 0.3", "off_topic", "max_score"),
+    "relevance": ("hits > 0 AND top_score < 0.45", "low_confidence", "top_score", 0.45),
+    "subject": ("mismatches >= 2", "off_topic", "mismatches", 2),
+    "confidence": ("hits = 0 OR coalesce(avg_top5, 0) < 0.38", "low_confidence", "coalesce(avg_top5, 0)", 0.38),
+    "context": ("hits < 1 OR coalesce(context_chars, 0) < 100", "insufficient_context", "context_chars", 100),
+    "topic": ("hits = 0 OR max_score < 0.3", "off_topic", "max_score", 0.3),
 }
 
 
 def _gate(name: str) -> str:
-    bad, kind, score = _GATES[name]
+    bad, kind, score, least = _GATES[name]
     return _knn(30, tail=_SUMMARY) + f"""SELECT q_id, NOT ({bad}) passed, CASE WHEN {bad} THEN '{kind}' END rejection_type,
-        CASE WHEN {bad} THEN round({score}::DOUBLE, 4) END gate_score FROM s"""
+        CASE WHEN {bad} THEN round({score}::DOUBLE, 4) END gate_score, CASE WHEN {bad} THEN {least}::DOUBLE END threshold FROM s"""
+
+
+def _picked(source: str) -> str:
+    """source with stage, rejection_type, gate_score and threshold of the first gate that rejects."""
+    pick = lambda f: "CASE " + " ".join(f"WHEN {bad} THEN {f(n, kind, score, least)}" for n, (bad, kind, score, least) in _GATES.items()) + " END"
+    return f"""SELECT *, {pick(lambda n, k, s, t: f"'{k}'")} rejection_type, {pick(lambda n, k, s, t: f"'{n}'")} stage,
+        {pick(lambda n, k, s, t: f"({s})::DOUBLE")} gate_score, {pick(lambda n, k, s, t: f"{t}::DOUBLE")} threshold FROM {source}"""
 
 
 def _gates() -> str:
-    pick = lambda f: "CASE " + " ".join(f"WHEN {bad} THEN {f(n, kind, score)}" for n, (bad, kind, score) in _GATES.items()) + " END"
-    return _knn(30, tail=_SUMMARY) + f"""SELECT q_id, hits, {pick(lambda n, k, s: "1")} IS NULL passed, {pick(lambda n, k, s: f"'{k}'")} rejection_type,
-        {pick(lambda n, k, s: f"'{n}'")} stage, round({pick(lambda n, k, s: f"({s})::DOUBLE")}, 4) gate_score, round(avg_score, 4) avg_score FROM s"""
+    return _knn(30, tail=_SUMMARY) + f"""SELECT q_id, hits, stage IS NULL passed, rejection_type, stage, round(gate_score, 4) gate_score, threshold, round(avg_score, 4) avg_score FROM ({_picked('s')})"""
 
 
 def _sentences(text: str, longer: int) -> str:
@@ -146,14 +151,109 @@ def _citation_chapter() -> str:
       WHEN try_cast({digits} AS HUGEINT) % 100 = 0 THEN 'Introduction' ELSE 'Chapter ' || (try_cast({digits} AS HUGEINT) % 100)::VARCHAR END"""
 
 
-def _file_subject() -> str:
+def _file_subject(asked: str = "'asked'") -> str:
     cases = " ".join(f"WHEN contains(lower(filename), '{p}') THEN '{n}'" for p, n in FILE_SUBJECTS)
-    return f"CASE {cases} WHEN coalesce(filename, '') <> '' THEN coalesce(subject, 'asked') ELSE 'asked' END"
-
-
-def _mismatch() -> str:
-    prefix = "CASE " + " ".join(f"WHEN class = {c} AND subject = '{s}' THEN '{p}'" for (c, s), p in PREFIXES.items()) + " END"
-    return f"CASE WHEN class = 10 AND subject IN ('Hindi', 'English') THEN false WHEN {prefix} IS NOT NULL THEN NOT contains(lower(filename), {prefix}) ELSE false END"
+    return f"CASE {cases} WHEN coalesce(filename, '') <> '' THEN coalesce(subject, {asked}) ELSE {asked} END"
+
+
+def _mismatch(asked: str = "", hit: str = "") -> str:
+    prefix = "CASE " + " ".join(f"WHEN {asked}class::INT = {c} AND {asked}subject = '{s}' THEN '{p}'" for (c, s), p in PREFIXES.items()) + " END"
+    return f"""CASE WHEN {asked}class::INT = 10 AND {asked}subject IN ('Hindi', 'English') THEN false WHEN {prefix} IS NOT NULL THEN NOT contains(lower(coalesce({hit}filename, '')), {prefix})
+        ELSE coalesce({hit}subject, '') <> '' AND lower({hit}subject) <> lower({asked}subject) END"""
+
+
+def _path(t: str = "") -> str:
+    return f"""'class-' || {t}class::VARCHAR || '/' || CASE WHEN {t}class::VARCHAR = '10' THEN 'all-subjects-' || CASE {t}lang WHEN 'hi' THEN 'hindi' WHEN 'en' THEN 'english' ELSE {t}lang END
+        ELSE {_slug(f'{t}subject')} || '-' || {t}lang END"""
+
+
+def _unit(vector: str) -> str:
+    return f"list_transform({vector}, lambda x: x / sqrt(greatest(list_sum(list_transform({vector}, lambda y: y * y)), 1e-300)))"
+
+
+def _pipeline() -> str:
+    """Questions (chunks whose key 20 divides) against the chunks of their own index, gates, extract and citation."""
+    shelf = "'class ' || coalesce(q_class, '?') || ', ' || coalesce(q_subject, '?')"
+    told = f"""CASE stage WHEN 'relevance' THEN 'No passage of ' || {shelf} || ', comes close enough to the question.' WHEN 'subject' THEN 'The passages found lie outside ' || {shelf} || '.'
+        WHEN 'confidence' THEN 'The passages of ' || {shelf} || ', match too weakly on average.' WHEN 'context' THEN 'The passages of ' || {shelf} || ', hold too little text.'
+        WHEN 'topic' THEN 'The question lies outside ' || {shelf} || '.' END"""
+    answer = _extractive("text", "CASE WHEN q_lang = 'hi' THEN ' [Source 1]' ELSE '. [Source 1]' END")
+    return f"""WITH c AS (SELECT k.chunk_uid, k.text, k.chapter, k.page_numbers, k.primary_page, k.filename, CASE WHEN k.embedding_dim = 64 THEN k.embedding::DOUBLE[] END e,
+          b.class::VARCHAR class, b.subject, b.lang, {_path('b.')} path FROM {CHUNKS} k JOIN books b ON b.filename = k.filename),
+      u AS (SELECT * EXCLUDE e, {_unit('e')} v FROM c),
+      d AS (SELECT q.chunk_uid q_id, r.chunk_uid r_id, length(coalesce(r.text, '')) chars, {_mismatch('q.', 'r.')} mismatch, round(list_distance(q.v, r.v) * list_distance(q.v, r.v), 6) distance
+            FROM u q JOIN u r ON q.path = r.path AND q.chunk_uid <> r.chunk_uid WHERE q.chunk_uid % 20 = 0 AND q.v IS NOT NULL AND r.v IS NOT NULL),
+      h AS (SELECT *, 1.0 / (1.0 + distance) score, row_number() OVER (PARTITION BY q_id ORDER BY distance, r_id) k FROM d QUALIFY k <= 30),
+      s AS (SELECT q_id, count(*) hits, max(CASE WHEN k = 1 THEN score END) top_score, avg(CASE WHEN k <= 5 THEN score END) avg_top5, max(score) max_score, avg(score) avg_score, sum(chars) context_chars,
+            sum(CASE WHEN k <= 3 AND mismatch THEN 1 ELSE 0 END) mismatches, max(CASE WHEN k = 1 THEN r_id END) best FROM h GROUP BY q_id),
+      a AS (SELECT q.chunk_uid q_id, q.class q_class, q.subject q_subject, q.lang q_lang, q.v IS NULL broken, coalesce(hits, 0) hits, top_score, avg_top5, max_score, avg_score, context_chars,
+            coalesce(mismatches, 0) mismatches, best FROM u q LEFT JOIN s ON s.q_id = q.chunk_uid WHERE q.chunk_uid % 20 = 0),
+      g AS ({_picked('a')}),
+      f AS (SELECT g.*, b.text, b.chapter, b.filename, b.page_numbers, b.primary_page, b.class, b.subject FROM g LEFT JOIN u b ON b.chunk_uid = g.best),
+      o AS (SELECT *, stage IS NULL ok, CASE WHEN text IS NULL THEN '{UNKNOWN_ANSWER}' ELSE {answer} END said FROM f)
+      SELECT q_id, CASE WHEN ok THEN 'success' ELSE 'rejected' END status, CASE WHEN ok THEN said END answer, CASE WHEN ok THEN coalesce(class, q_class) END class, CASE WHEN ok THEN {_file_subject('q_subject')} END subject,
+        CASE WHEN ok THEN {_citation_chapter()} END chapter, CASE WHEN ok THEN {_page_range()} END page,
+        CASE WHEN ok THEN CASE WHEN said = '' THEN 0.0 WHEN len(regexp_extract_all(said, '\\[Source [0-9]+\\]')) = 0 THEN 0.3 ELSE 0.9 END::DOUBLE END grounding_score,
+        CASE WHEN broken THEN 'error' ELSE stage END reason, CASE WHEN broken THEN 'The question has no vector to search with.' WHEN NOT ok THEN {told} END message,
+        CASE WHEN broken THEN 'insufficient_context' ELSE rejection_type END rejection_type, CASE WHEN NOT broken THEN round(gate_score, 4) END gate_score, CASE WHEN NOT broken THEN threshold END threshold,
+        hits retrieved_chunks, round(avg_score, 4) avg_retrieval_score, CASE WHEN ok THEN 'retrieval_only' END "mode" FROM o"""
+
+
+_HINDI = "lower(coalesce(lang, '')) IN ('hi', 'hin', 'hindi')"
+
+
+def _cleaned_scans() -> str:
+    """(doc_id, t, hindi, chapter, ...): scans cleaned each in their own way, one row per delivery that differs."""
+    first = lambda text, n, pattern: _nullif_extract(f"substr({text}, 1, {n})", pattern)
+    stem = "regexp_extract(lower(filename), 'jesc([0-9]+)', 1)"
+    return f"""SELECT *, coalesce(nullif(nullif(chapter, 'Unknown'), ''), {first('t', 500, r'chapter\s+([0-9]+)')}, {first('t', 500, r'chapter\s+([ivxlcdm]+)')},
+          CASE WHEN {stem} <> '' THEN coalesce(nullif(ltrim({stem}, '0'), ''), '0') END) told, CASE WHEN NOT hindi THEN {first('t', 1000, r'section\s+([0-9]+\.?[0-9]*)')} END section,
+          CASE WHEN NOT hindi THEN 'Science' WHEN contains(lower(filename), 'jhsc') THEN 'Science' WHEN contains(lower(filename), 'jhss') THEN 'Social Science' ELSE 'Unknown' END subject
+        FROM (SELECT doc_id, full_text, filename, chapter, pages, {_HINDI} hindi, CASE WHEN {_HINDI} THEN {_clean_hindi('full_text')} ELSE {_clean('full_text')} END t FROM ocr_results)"""
+
+
+def _ingest() -> str:
+    """Scans cleaned, cut by markers where there are any and by size elsewhere, and what is told of chunks cut by size."""
+    hits = []
+    for order, (kind, pattern) in enumerate(MARKERS):
+        hits.append(f"""SELECT doc_id, {order} ord, '{kind}' kind, list_sum(list_transform(parts[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT pos
+          FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') hits, string_split_regex(t, '{pattern}') parts FROM k WHERE NOT hindi), unnest(range(1, len(hits) + 1)) u(i)""")
+    token = _token_chunks("SELECT doc_id AS key, t AS text FROM k WHERE doc_id NOT IN (SELECT doc_id FROM st)").removeprefix("WITH RECURSIVE ")
+    return f"""WITH RECURSIVE k AS (SELECT * FROM ({_cleaned_scans()}) QUALIFY row_number() OVER (PARTITION BY doc_id) = 1), m AS ({' UNION ALL '.join(hits)}),
+      st AS (SELECT doc_id, list(pos ORDER BY pos, ord) starts, list(kind ORDER BY pos, ord) kinds FROM m GROUP BY doc_id),
+      b AS (SELECT doc_id, t, list_concat([0], starts, [length(t)]) b, list_concat(kinds, [NULL]) kinds FROM st JOIN k USING (doc_id)),
+      seg AS (SELECT doc_id, i, b[i] start_pos, b[i + 1] end_pos, kinds[i] structure_type, {_strip('substr(t, b[i] + 1, greatest(b[i + 1] - b[i], 0))')} text FROM b, unnest(range(1, len(kinds) + 1)) u(i)),
+      {token},
+      every AS (SELECT doc_id, i ord, start_pos, end_pos, structure_type, text, NULL::INT token_count FROM seg WHERE length(text) >= 50
+        UNION ALL SELECT key, 0, start_pos, end_pos, NULL, text, (length(text) // 4)::INT FROM piece WHERE text <> ''),
+      c AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY start_pos, ord) - 1)::INT chunk_index, (count(*) OVER (PARTITION BY doc_id))::INT total_chunks FROM every),
+      w AS (SELECT doc_id, chunk_index, i, ws[i] word
+        FROM (SELECT doc_id, chunk_index, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}')) ws FROM c WHERE token_count IS NOT NULL), unnest(range(1, len(ws) + 1)) u(i)),
+      n AS (SELECT doc_id, chunk_index, word, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY count(*) DESC, min(i)) r FROM w WHERE word NOT IN ({', '.join(f"'{x}'" for x in STOPWORDS)}) GROUP BY doc_id, chunk_index, word),
+      top AS (SELECT doc_id, chunk_index, string_agg(word, ' ' ORDER BY r) keywords FROM n WHERE r <= 5 GROUP BY ALL),
+      p AS (SELECT doc_id, told, list_filter(list_transform(pages, lambda p: p.page_number), lambda x: x IS NOT NULL AND x <> 0) pn FROM k)
+      SELECT c.doc_id, c.chunk_index, total_chunks, start_pos::INT start_pos, end_pos::INT end_pos, structure_type, text, length(text)::INT char_count, token_count,
+        CASE WHEN token_count IS NOT NULL THEN {_content_type()} END content_type, CASE WHEN token_count IS NOT NULL THEN regexp_matches(text, '{_EQUATION}') END has_equations,
+        CASE WHEN token_count IS NOT NULL THEN regexp_matches(text, '{_QUESTION}', 'i') END has_questions, CASE WHEN token_count IS NOT NULL THEN coalesce(keywords, '') END keywords,
+        told chapter, pn[1] primary_page, array_to_string(pn, ',') page_numbers, 384 embedding_dim, 1.0::DOUBLE norm
+      FROM c JOIN p ON p.doc_id = c.doc_id LEFT JOIN top ON top.doc_id = c.doc_id AND top.chunk_index = c.chunk_index"""
+
+
+_EQUATION, _QUESTION = r"[=+\-*/()]|[0-9]+\.[0-9]+|→|—", r"\?|(question|exercise|activity)"
+
+
+def _prompt(template: str, *values: str) -> str:
+    parts = template.split("%s")
+    return " || ".join([f"'{parts[0]}'", *(x for v, p in zip(values, parts[1:]) for x in (v, f"'{p}'"))])
+
+
+#: The first five chunks of every document, their context and extract, as CTEs.
+_FIVE = f"""r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_uid) k FROM {CHUNKS} QUALIFY k <= 5),
+      c AS (SELECT doc_id, string_agg('[Source ' || k || '] Chapter: ' || coalesce(chapter, 'Unknown') || ', Page: ' || coalesce(primary_page::VARCHAR, 'Unknown') || chr(10) || {_strip("coalesce(text, '')")} || chr(10), chr(10) ORDER BY k) context FROM r GROUP BY doc_id),
+      t AS (SELECT doc_id, k, {_strip('text')} b FROM r WHERE k <= 2 AND {_strip("coalesce(text, '')")} <> ''),
+      n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) i, b, {_sentences('b', 20)} s FROM t),
+      x AS (SELECT doc_id, string_agg('[' || i || '] ' || CASE WHEN len(s) > 0 THEN array_to_string(s[1:3], ' ') ELSE substr(b, 1, 300) END, chr(10) || chr(10) ORDER BY i) extract FROM n GROUP BY doc_id)"""
+_TREE = """(SELECT class, subject s, CASE lang WHEN 'hi' THEN 'hindi' WHEN 'ur' THEN 'urdu' ELSE 'english' END l, length(filename) % 2 = 0 upper FROM books WHERE class IN (5, 6, 9, 10))"""
 
 
 _RESULTS = f"""(SELECT feedback_id, helpful, coalesce(metadata.status, 'error') status, try_cast(regexp_extract(metadata.class, '([0-9]+)', 1) AS INT) class, metadata.lang lang FROM {FEEDBACK})"""
@@ -178,8 +278,7 @@ ORACLE: dict[str, str] = {
       SELECT DISTINCT doc_id, page_number, CASE WHEN t = '' THEN 'Unknown' ELSE coalesce(list_filter(f, lambda x: x <> '')[1], 'Unknown') END printed FROM l""",
     "joined_pages": """SELECT DISTINCT doc_id, t full_text, len(pages)::INT total_pages, length(t)::INT total_characters
       FROM (SELECT doc_id, pages, coalesce(array_to_string(list_filter(list_transform(pages, lambda p: p.text), lambda x: coalesce(x, '') <> ''), chr(10) || chr(10)), '') t FROM ocr_results)""",
-    "subject_slugs": f"""SELECT DISTINCT class, subject, lang, {_slug('subject')} slug, 'class-' || class::VARCHAR || '/' ||
-        CASE WHEN class = 10 THEN CASE WHEN lang = 'hi' THEN 'all-subjects-hindi' ELSE 'all-subjects-english' END ELSE {_slug('subject')} || '-' || lang END path FROM books""",
+    "subject_slugs": f"SELECT DISTINCT class, subject, lang, {_slug('subject')} slug, {_path()} path FROM books",
     "text_previews": """SELECT DISTINCT feedback_id, substr(question, 1, 50) || '...' short, CASE WHEN length(answer) > 300 THEN substr(answer, 1, 300) || '...' ELSE answer END long FROM feedback""",
     "chunk_by_tokens": _token_chunks("SELECT doc_id key, text FROM documents")
     + """SELECT key doc_id, (row_number() OVER (PARTITION BY key ORDER BY start_pos) - 1)::INT chunk_index, (count(*) OVER (PARTITION BY key))::INT total_chunks, start_pos::INT start_pos, end_pos::INT end_pos,
@@ -225,20 +324,17 @@ ORACLE: dict[str, str] = {
     "citation_dedupe": f"""WITH f AS (SELECT doc_id, chunk_uid, class, subject, chapter, primary_page::VARCHAR page FROM {CHUNKS}
         QUALIFY row_number() OVER (PARTITION BY doc_id, coalesce(class, ''), coalesce(subject, ''), coalesce(chapter, ''), coalesce(primary_page::VARCHAR, '') ORDER BY chunk_uid) = 1)
       SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_uid))::INT number FROM f""",
-    "answer_contexts": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_uid) k FROM {CHUNKS} QUALIFY k <= 5),
-      c AS (SELECT doc_id, string_agg('[Source ' || k || '] Chapter: ' || coalesce(chapter, 'Unknown') || ', Page: ' || coalesce(primary_page::VARCHAR, 'Unknown') || chr(10) || {_strip("coalesce(text, '')")} || chr(10), chr(10) ORDER BY k) context FROM r GROUP BY doc_id),
-      t AS (SELECT doc_id, k, {_strip('text')} b FROM r WHERE k <= 2 AND {_strip("coalesce(text, '')")} <> ''),
-      n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) i, b, {_sentences('b', 20)} s FROM t),
-      x AS (SELECT doc_id, string_agg('[' || i || '] ' || CASE WHEN len(s) > 0 THEN array_to_string(s[1:3], ' ') ELSE substr(b, 1, 300) END, chr(10) || chr(10) ORDER BY i) extract FROM n GROUP BY doc_id)
-      SELECT c.doc_id, context, coalesce(x.extract, '') "extract", 'Answer.' || CASE WHEN coalesce(x.extract, '') <> '' THEN chr(10) || chr(10) || repeat('=', 50) || chr(10) || '{HEADERS['en']}' || chr(10) || x.extract ELSE '' END
-        || chr(10) || chr(10) || repeat('-', 50) || chr(10) || '{FOLLOW_UPS['en']}' complete FROM c LEFT JOIN x ON x.doc_id = c.doc_id""",
-    "question_validation": f"""SELECT feedback_id, CASE WHEN coalesce(question, '') = '' THEN 'Question is required' WHEN length(trim(question)) < 10 THEN 'Question must be at least 10 characters'
-        WHEN length(question) > 500 THEN 'Question must not exceed 500 characters' WHEN k IS NULL OR k NOT IN ('5', '6', '7', '8', '9', '10') THEN 'Valid class selection is required'
-        WHEN coalesce(s, '') = '' THEN 'Subject selection is required' WHEN l IS NULL OR l NOT IN ('en', 'hi') THEN 'Language selection is required' END error,
-        CASE t {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in REJECTIONS.items())} ELSE 'Your question could not be answered from the available textbook content.' END message
+    "answer_contexts": f"""WITH {_FIVE}
+      SELECT c.doc_id, context, coalesce(x.extract, '') "extract", 'Answer.' || CASE WHEN coalesce(x.extract, '') <> '' THEN chr(10) || chr(10) || repeat('=', 50) || chr(10)
+          || CASE WHEN c.doc_id % 2 = 0 THEN '{HEADERS['hi']}' ELSE '{HEADERS['en']}' END || chr(10) || x.extract ELSE '' END
+        || chr(10) || chr(10) || repeat('-', 50) || chr(10) || CASE WHEN c.doc_id % 2 = 0 THEN '{FOLLOW_UPS['hi']}' ELSE '{FOLLOW_UPS['en']}' END complete FROM c LEFT JOIN x ON x.doc_id = c.doc_id""",
+    "question_validation": f"""SELECT feedback_id, CASE WHEN coalesce(question, '') = '' THEN 'question_missing' WHEN length(trim(question)) < 10 THEN 'question_short'
+        WHEN length(question) > 500 THEN 'question_long' WHEN k IS NULL OR k NOT IN ('5', '6', '7', '8', '9', '10') THEN 'class_unknown'
+        WHEN coalesce(s, '') = '' THEN 'subject_missing' WHEN l IS NULL OR l NOT IN ('en', 'hi') THEN 'language_unknown' END error,
+        CASE t {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in REJECTIONS.items())} ELSE '{REJECTED}' END message
       FROM (SELECT DISTINCT feedback_id, question, regexp_extract(metadata.class, '([0-9]+)', 1) k, metadata.subject s, metadata.lang l, metadata.rejection_type t FROM feedback)""",
-    "response_validation": """SELECT feedback_id, CASE WHEN s = 'success' AND coalesce(answer, '') = '' THEN 'Invalid answer format' WHEN s = 'success' AND g IS NULL THEN 'Invalid citations format'
-        WHEN s = 'rejected' AND coalesce(t, '') = '' THEN 'Invalid rejection reason format' WHEN s IS NULL OR s NOT IN ('success', 'rejected') THEN 'Invalid response status' END error
+    "response_validation": """SELECT feedback_id, CASE WHEN s = 'success' AND coalesce(answer, '') = '' THEN 'answer_missing' WHEN s = 'success' AND g IS NULL THEN 'citations_missing'
+        WHEN s = 'rejected' AND coalesce(t, '') = '' THEN 'reason_missing' WHEN s IS NULL OR s NOT IN ('success', 'rejected') THEN 'status_unknown' END error
       FROM (SELECT DISTINCT feedback_id, answer, metadata, metadata.status s, metadata.grounding_score g, metadata.rejection_type t FROM feedback)""",
     "subjects_on_offer": f"""SELECT filename, class, EXISTS (SELECT 1 FROM (VALUES {', '.join(f"({c}, '{s.lower()}')" for c, names in SUBJECTS.items() for s in names)}) o(c, s) WHERE o.c = class AND o.s = lower(subject)) on_offer FROM books""",
     "feedback_log": """SELECT DISTINCT feedback_id, coalesce(nullif(answer, ''), 'REJECTED') answer, coalesce(trim(remark), '') remark, nullif(metadata.rejection_type, '') rejection_type,
@@ -246,9 +342,47 @@ ORACLE: dict[str, str] = {
     "feedback_windows": f"""SELECT strftime(asked_at::TIMESTAMP, '%Y-%m-%d') "day", coalesce(metadata.status, 'unknown') status,
         count(*) n, count(*) FILTER (WHERE coalesce(helpful, false)) helpful FROM {FEEDBACK} WHERE asked_at IS NOT NULL GROUP BY ALL""",
     "eval_status_counts": f"SELECT status, count(*) n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4)::DOUBLE percent FROM {_RESULTS} GROUP BY status",
-    "eval_mode_distribution": f"SELECT lang \"mode\", count(*) n FROM {_RESULTS} WHERE status = 'success' GROUP BY lang",
+    "eval_mode_distribution": f"""SELECT CASE WHEN metadata.grounding_score >= 0.9 THEN 'retrieval_only' WHEN metadata.grounding_score IS NOT NULL THEN 'llm' END "mode", count(*) n
+        FROM {FEEDBACK} WHERE metadata.status = 'success' GROUP BY 1""",
     "eval_latency": "SELECT event_type, count(value) n, round(avg(value), 6) avg_s, min(value) min_s, max(value) max_s FROM events GROUP BY event_type",
     "eval_class_pivot": f"""SELECT class, count(*) FILTER (WHERE status = 'success') success, count(*) FILTER (WHERE status = 'rejected') rejected, count(*) FILTER (WHERE status = 'error') error, count(*) total,
         round(count(*) FILTER (WHERE status = 'success') * 100.0 / count(*), 4)::DOUBLE success_percent FROM {_RESULTS} WHERE class IS NOT NULL GROUP BY class""",
     "eval_passed": f"SELECT count(*) FILTER (WHERE helpful) passed, count(helpful) total FROM {_RESULTS}",
+    "answer_prompts": f"""WITH {_FIVE}
+      SELECT c.doc_id q_id, CASE WHEN c.doc_id % 2 = 0 THEN '{SYSTEM_PROMPTS['hi']}' ELSE '{SYSTEM_PROMPTS['en']}' END system,
+        CASE WHEN c.doc_id % 2 = 0 THEN {_prompt(USER_PROMPTS['hi'], 'context', "'Question ' || c.doc_id::VARCHAR")} ELSE {_prompt(USER_PROMPTS['en'], 'context', "'Question ' || c.doc_id::VARCHAR")} END "user",
+        coalesce(x.extract, '') "extract" FROM c LEFT JOIN x ON x.doc_id = c.doc_id""",
+    "encode_hashing": r"""SELECT doc_id, 384 embedding_dim, 384 size, CASE WHEN regexp_matches(coalesce(text, ''), '[^\s\p{Z}\x{85}\x{1C}-\x{1F}\x{0B}]') THEN 1.0 ELSE 0.0 END::DOUBLE norm FROM documents""",
+    "numbered_pages": f"""WITH p AS (SELECT DISTINCT doc_id, i page_number, string_split(full_text, chr(10) || chr(10))[i] text FROM ocr_results, unnest(range(1, len(string_split(full_text, chr(10) || chr(10))) + 1)) u(i) WHERE full_text <> ''),
+      l AS (SELECT *, list_transform(list_reverse(string_split({_strip('text')}, chr(10)))[1:3],
+               lambda x: regexp_extract(x, '(?:^|[^\\p{{L}}\\p{{N}}_])([0-9]{{1,3}})(?:$|[^\\p{{L}}\\p{{N}}_])', 1)) f FROM p)
+      SELECT DISTINCT doc_id, page_number::INT page_number, CASE WHEN {_strip('text')} = '' THEN 'Unknown' ELSE coalesce(list_filter(f, lambda x: x <> '')[1], 'Unknown') END pdf_page_number, length(text)::INT char_count FROM l""",
+    "chunk_search": f"""WITH u AS (SELECT k.chunk_uid, b.lang, {_unit('k.embedding::DOUBLE[]')} v FROM {CHUNKS} k JOIN books b ON b.filename = k.filename WHERE k.embedding_dim = 64 AND k.embedding IS NOT NULL),
+      d AS (SELECT q.chunk_uid q_id, r.chunk_uid, round(list_distance(q.v, r.v) * list_distance(q.v, r.v), 6) distance FROM u q JOIN u r ON q.lang = r.lang AND q.chunk_uid <> r.chunk_uid WHERE q.chunk_uid % 20 = 0)
+      SELECT q_id, "rank", round(distance, 4) distance FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, chunk_uid)::INT "rank" FROM d) WHERE "rank" <= 5""",
+    "knn_ivf_recall": "SELECT true enough, count(*) FILTER (WHERE vec_id % 20 = 0) * least(10, count(*) - 1) neighbours FROM embeddings",
+    "request_projection": """SELECT DISTINCT feedback_id, trim(question) question, try_cast(regexp_extract(metadata.class, '([0-9]+)', 1) AS INT) class, metadata.subject subject, metadata.lang lang,
+        strftime(asked_at::TIMESTAMP, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' sent_at FROM feedback""",
+    "folder_subjects": f"""WITH t AS (SELECT * FROM {_TREE} QUALIFY upper = bool_or(upper) OVER (PARTITION BY class))
+      SELECT class, {_INITCAP.format('s')} subject, {_INITCAP.format('l')} "language", CASE l WHEN 'hindi' THEN 'hi' WHEN 'urdu' THEN 'ur' ELSE 'en' END lang_code, count(*) pdf_count FROM t GROUP BY ALL""",
+    "picked_subject": f"""WITH t AS (SELECT * FROM {_TREE} QUALIFY upper = bool_or(upper) OVER (PARTITION BY class))
+      SELECT class, 'Science' subject, 'English' "language", 'en' lang_code, count(*) pdf_count FROM t WHERE lower(s) = 'science' AND l = 'english' GROUP BY class""",
+    "index_selection": f"""WITH i AS (SELECT b.class::VARCHAR class, {_slug('b.subject')} subject_slug, b.lang FROM {CHUNKS} c JOIN books b ON b.filename = c.filename),
+      s AS (SELECT 'one' selection, * FROM i WHERE class = '9' AND subject_slug = 'social-science' AND lang = 'en'
+        UNION ALL SELECT 'first', * FROM i WHERE class = '8' AND lang = 'hi' AND subject_slug = (SELECT min(subject_slug) FROM i WHERE class = '8' AND lang = 'hi')
+        UNION ALL SELECT 'whole', * FROM i WHERE class = '10' AND lang = 'en' UNION ALL SELECT 'language', * FROM i WHERE subject_slug = 'mathematics' AND lang = 'hi'
+        UNION ALL SELECT 'named', * FROM i WHERE class = '10' AND lang = 'hi')
+      SELECT selection, class, subject_slug, count(*) n FROM s GROUP BY ALL""",
+    "eval_rate_limits": f"SELECT coalesce(nullif(metadata.rejection_type, ''), 'answered') outcome, count(*) n FROM {FEEDBACK} GROUP BY 1",
+    "eval_response_time": """WITH f AS (SELECT DISTINCT feedback_id, asked_at, received_at, metadata FROM feedback), t AS (SELECT coalesce(metadata.status, 'error') status, (epoch_us(received_at) - epoch_us(asked_at)) / 1e6 s FROM f)
+      SELECT status, count(s) n, round(avg(s), 6) avg_s, min(s) min_s, max(s) max_s FROM t GROUP BY status""",
+    "eval_cases_of_class": "SELECT item_id, subject, lang FROM exam_items WHERE class = 9",
+    "eval_subject_outcomes": """WITH o AS (SELECT DISTINCT doc_id, filename, error FROM ocr_results)
+      SELECT b.subject, count(*) FILTER (WHERE error IS NULL) succeeded, count(*) FILTER (WHERE error IS NOT NULL) failed, CASE WHEN count(error) = 0 THEN 'SUCCESS' ELSE 'FAILED' END outcome
+      FROM o JOIN books b ON b.filename = o.filename GROUP BY b.subject""",
+    "cleaned_scans": f"""SELECT DISTINCT doc_id, t cleaned_text, CASE WHEN NOT hindi THEN ({' + '.join(f"coalesce(len(regexp_extract_all(t, '{p}')), 0)" for _, p in MARKERS)})::INT END structures, told chapter, section, '10' class, subject, filename,
+        length(coalesce(full_text, ''))::INT char_count_original, length(t)::INT char_count_cleaned, coalesce(len(pages), 0)::INT total_pages, len(regexp_extract_all(t, '[\\x{{0900}}-\\x{{097F}}]'))::INT devanagari_chars,
+        CASE WHEN length(t) > 0 THEN round_even(len(regexp_extract_all(t, '[\\x{{0900}}-\\x{{097F}}]')) / length(t) * 100, 1) ELSE 0.0 END devanagari_percentage FROM ({_cleaned_scans()})""",
+    "ingest_documents": _ingest(),
+    "answer_pipeline": _pipeline(),
 }

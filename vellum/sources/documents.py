@@ -24,6 +24,8 @@ class TextPages:
     """Plain text whose pages a form feed parts. An optical reader takes its place where one is installed."""
 
     def pages(self, content: bytes, lang: str = "eng", dpi: int = 300) -> list[str | Exception]:  # noqa: ARG002
+        if content[:5] == b"%PDF-" or b"\0" in content:
+            raise ValueError("not a text: a reader for this format has to be given")
         return list(content.decode("utf-8").split("\f"))
 
 
@@ -49,14 +51,14 @@ def read_documents(spark: SparkSession, path: str, extractor: PageExtractor, pat
     return assemble(files.mapInPandas(extract, schema), lang)
 
 
-def assemble(raw: DataFrame, lang: str) -> DataFrame:
-    """Number the pages, read their printed numbers, join the text."""
+def assemble(raw: DataFrame, lang: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Number the pages, read their printed numbers, join the text; the columns of keep come along."""
     page = lambda p, i: F.struct(
         (i + 1).alias("page_number"), F.when(p["error"].isNull(), footer_page_number(p["text"])).alias("pdf_page_number"), p["text"].alias("text"),
         F.when(p["error"].isNull(), F.length(p["text"])).alias("char_count"), p["error"].alias("error"),
     )
     df = raw.withColumn("pages", F.transform("raw", page))
-    return join_pages(df.select("pdf_path", filename_stem(F.col("pdf_path")).alias("filename"), filename_chapter(F.col("pdf_path")).alias("chapter"), "pages", F.lit(lang).alias("lang"), "error"))
+    return join_pages(df.select(*keep, "pdf_path", filename_stem(F.col("pdf_path")).alias("filename"), filename_chapter(F.col("pdf_path")).alias("chapter"), "pages", F.lit(lang).alias("lang"), "error"))
 
 
 def join_pages(df: DataFrame, pages: str = "pages") -> DataFrame:
