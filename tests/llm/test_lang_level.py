@@ -110,6 +110,15 @@ def test_syllables():
         assert level.syllables(word) == n, word
 
 
+def test_hyphenation_loses_no_letter():
+    cuts = {"reading": "rea-ding", "table": "ta-ble", "photosynthesis": "pho-to-syn-the-sis", "children": "chil-dren", "river": "ri-ver", "jumped": "jumped"}
+    for word, parts in cuts.items():
+        assert "-".join(level.hyphenated(word)) == parts, word
+    for word in ("evaporation", "thermodynamics", "queue", "rhythm", "well-known", "it's", "x"):
+        assert "".join(level.hyphenated(word)) == word.replace("-", "").replace("'", "")
+        assert level.syllables(word) == len(level.hyphenated(word)) >= 1
+
+
 EASY = "The cat sat on the mat. We ran to the shop. It is red and big. I see a dog."
 MIDDLE = "The students of the village described the regular magnet and wrote the results in a notebook before lunch."
 HARD = "Notwithstanding the hierarchical interpretation of thermodynamics, philosophers hypothesised its indispensable significance considerably."

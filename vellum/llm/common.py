@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,14 +45,17 @@ def words(text: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors reach; only where that is unset (tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir, which all executors reach. Only where all threads are on one machine a temporary one will do."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if re.fullmatch(r"local(\[[^\]]*\])?", sc.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="vellum-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if sc.getCheckpointDir() is None:
-        if named is None:
-            named = tempfile.mkdtemp(prefix="vellum-")
         sc.setCheckpointDir(named)
-    return named or sc.getCheckpointDir()
+    return named
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -29,22 +29,47 @@ _VOWELS = re.compile(r"[aeiouy]+")
 _SPLIT = re.compile(r"(?:ia|io(?!us|n)|eo(?!us)|iu|ua(?!r)|uo)(?!$)")
 
 
-@functools.lru_cache(200_000)
-def syllables(word: str) -> int:
-    """Syllables of an English word by rules as hyphenation uses them; parts of a compound are counted one by one."""
-    if "-" in word:
-        return sum(syllables(p) for p in word.split("-") if p)
+# Consonants that are not parted.
+_WHOLE = frozenset("ch sh th ph wh gh ck qu bl br cl cr dr fl fr gl gr pl pr sc sk sl sm sn sp st sw tr tw".split())
+
+
+def _nuclei(w: str) -> list[tuple[int, int]]:
+    """The vowels of each syllable, as places in a lower-case word; what is written and not spoken at its end is none."""
+    cuts = {m.start() + 1 for m in _SPLIT.finditer(w)}
+    out = []
+    for m in _VOWELS.finditer(w):
+        at = m.start()
+        for cut in sorted(c for c in cuts if m.start() < c < m.end()):
+            out.append((at, cut))
+            at = cut
+        out.append((at, m.end()))
+    silent = (
+        w.endswith("e") and not w.endswith(("le", "ee", "ye", "oe", "ie"))
+        or w.endswith("ed") and not w.endswith(("ted", "ded"))
+        or w.endswith("es") and not w.endswith(("ses", "zes", "ces", "ges", "xes", "ches", "shes", "ies"))
+    )
+    return out[:-1] if silent and len(out) > 1 else out
+
+
+def hyphenated(word: str) -> list[str]:
+    """An English word cut where it may be hyphenated: before a lone consonant between vowels, among several before the last that can begin a syllable."""
     w = word.lower().replace("'", "").replace("’", "")
+    if "-" in w:
+        return [part for p in w.split("-") if p for part in hyphenated(p)]
     if len(w) <= 3:
-        return 1
-    n = len(_VOWELS.findall(w)) + len(_SPLIT.findall(w))
-    if w.endswith("e") and not w.endswith(("le", "ee", "ye", "oe", "ie")):
-        n -= 1
-    elif w.endswith("ed") and not w.endswith(("ted", "ded")):
-        n -= 1
-    elif w.endswith("es") and not w.endswith(("ses", "zes", "ces", "ges", "xes", "ches", "shes", "ies")):
-        n -= 1
-    return max(n, 1)
+        return [w]
+    cuts = [0]
+    places = _nuclei(w)
+    for (_, end), (start, _) in zip(places, places[1:]):
+        between = start - end
+        cuts.append(start - (2 if between >= 2 and w[start - 2 : start] in _WHOLE else min(between, 1)))
+    return [w[a:b] for a, b in zip(cuts, [*cuts[1:], len(w)])]
+
+
+@functools.lru_cache(200_000)
+def syllables(word: str) -> int:
+    """Syllables of an English word: the parts it may be hyphenated into."""
+    return len(hyphenated(word))
 
 
 def sentences(text: str) -> np.ndarray:

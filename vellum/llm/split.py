@@ -74,7 +74,9 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
 
 
 def split_oversized(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(item_id, n_chars, pieces array<struct<start_pos, end_pos, boundary>>): one row per distinct (key, text) above the limit.
+    """(item_id, n_chars, pieces array<struct<start_pos, end_pos, boundary>>, longest): one row per row with a text above the limit.
+
+    longest is the length of the longest piece, blanks at its ends not counted.
 
     Spaces at both ends of a text are not counted and not part of a piece; positions are into the text without them. Items within
     the limit, NULL texts and empty ones give no row. Every item is split by itself, so that no key is hot.
@@ -82,10 +84,11 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = LIMIT, over
 
     def cut(cols: dict[str, list]) -> dict[str, list]:
         pieces = [[{"start_pos": a, "end_pos": b, "boundary": c} for a, b, c in split_text(t, limit, overlap)] for t in cols["_t"]]
-        return {"item_id": cols["_k"], "n_chars": [len(t) for t in cols["_t"]], "pieces": pieces}
+        longest = [max(len(t[p["start_pos"] : p["end_pos"]].strip()) for p in ps) for t, ps in zip(cols["_t"], pieces)]
+        return {"item_id": cols["_k"], "n_chars": [len(t) for t in cols["_t"]], "pieces": pieces, "longest": longest}
 
     trimmed = df.select(F.col(key).cast("long").alias("_k"), F.trim(F.col(text)).alias("_t")).where(F.length("_t") > limit)
-    schema = "item_id long, n_chars long, pieces array<struct<start_pos: long, end_pos: long, boundary: string>>"
+    schema = "item_id long, n_chars long, pieces array<struct<start_pos: long, end_pos: long, boundary: string>>, longest long"
     return map_batches(trimmed, cut, schema)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.llm import canon, lang, leaks, level, neardup, pack, scans, similar, split, topics
@@ -95,6 +96,16 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.select("src", "item_id", "piece", "p.start_pos", "p.end_pos", "p.boundary")
 
 
+def p3_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every chunk and cleaned text above the limit, whether its pieces cover it without a gap and stay within the limit."""
+    cleaned = split.split_oversized(table(spark, sf_dir, "cleaned_documents"), "doc_id", "cleaned_text").withColumn("src", F.lit("cleaned"))
+    chunks = split.split_oversized(table(spark, sf_dir, "chunks"), "chunk_uid", "text").withColumn("src", F.lit("chunk"))
+    p = F.col("pieces")
+    touch = F.forall(F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: (b["start_pos"] <= a["end_pos"]) & (b["end_pos"] > a["end_pos"])), lambda ok: ok)
+    whole = (p[0]["start_pos"] == 0) & (F.element_at(p, -1)["end_pos"] == F.col("n_chars")) & touch
+    return cleaned.union(chunks).select("src", "item_id", "n_chars", whole.alias("covered"), (F.col("longest") <= split.LIMIT).alias("within")).distinct()
+
+
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every chunk: five words, a similarity of 0.8."""
     found = neardup.near_duplicate_groups(table(spark, sf_dir, "chunks"))
@@ -127,6 +138,20 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.fill_containers(table(spark, sf_dir, "documents"))
 
 
+def p8_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and tokens in all containers, containers above the capacity, and pieces that stand in more than one."""
+    filled = pack.fill_containers(table(spark, sf_dir, "documents"))
+    tokens, places = F.sum("size").over(W.partitionBy("container")), F.count(F.lit(1)).over(W.partitionBy("item_id", "piece"))
+    held = filled.select("size", tokens.alias("held"), places.alias("places"))
+    return held.agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("tokens"), F.count_if(F.col("held") > pack.CAPACITY).alias("above"), F.count_if(F.col("places") > 1).alias("twice"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each leaked test item's sequences that stand in the document."""
+    found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "exam_items"))
+    return found.select("doc_id", "item_id", F.round("share", 6).alias("share"))
+
+
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leaked test item with its share, edit distance and place."""
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "exam_items"))
@@ -143,6 +168,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_found, p9_found, p10_found,
-        p1_neighbours, p2_levels, p3_pieces, p4_groups, p5_paragraphs, p6_forms, p7_spans, p8_containers, p9_leaks, p10_shares,
+        p1_neighbours, p2_levels, p3_pieces, p3_covered, p4_groups, p5_paragraphs, p6_forms, p7_spans, p8_containers, p8_budget, p9_leaks, p9_shares, p10_shares,
     )
 }
