@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import stored
+
 #: More buckets mean less padding within a batch, fewer mean fuller containers: 64, 8, 4 and 1 leave 8.4, 4.7, 3.3 and 0.2 % unused on sf0.1.
 CAPACITY, BUCKETS = 2048, 4
 #: Items batched together in one task; a bucket of more is batched in so many independent shares.
@@ -68,7 +70,10 @@ def batches(sizes: list[int], capacity: int = CAPACITY) -> list[int]:
 
 
 def pieces(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> DataFrame:
-    """(item_id, piece, size): one row per item with tokens; an item above the capacity is cut into full pieces and a rest."""
+    """(item_id, piece, size): one row per item with tokens; an item above the capacity is cut into full pieces and a rest.
+
+    A piece holds the tokens from piece * capacity on, as TOKEN counts them from 0.
+    """
     sized = df.select(F.col(key).alias("item_id"), token_count(F.col(text)).cast("long").alias("n")).where("n > 0 and item_id is not null")
     last = F.floor((F.col("n") - 1) / capacity)
     return sized.select("item_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
@@ -79,10 +84,10 @@ def pieces(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> Data
 def fill_containers(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
     """(item_id, piece, size, container): every item in one container, split only when it is larger than one.
 
-    NULL, empty and blank texts hold no token and get no row. Only the histogram of sizes, at most `capacity` rows, comes to the
+    NULL, empty and blank texts hold no token and get no row. Tokens are counted once and the sizes kept as a table. Only the histogram of sizes, at most `capacity` rows, comes to the
     driver. A key that occurs twice is two items of equal name.
     """
-    cut = pieces(df, key, text, capacity)
+    cut = stored(pieces(df, key, text, capacity), "sizes")
     histogram = {int(r["size"]): int(r["count"]) for r in cut.groupBy("size").count().collect()}
     bounds = bucket_bounds(histogram, buckets)
     if not bounds:
