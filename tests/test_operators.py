@@ -13,7 +13,7 @@ from vellum.operators import evaluate as V
 from vellum.operators import gates as G
 from vellum.operators import index as I
 from vellum.operators import search
-from vellum.operators.search import build_ivf, ivf_lists, knn, knn_ivf
+from vellum.operators.search import build_ivf, ivf_lists, knn, knn_ivf, probes_for
 from vellum.plans.answering import answer_questions
 
 
@@ -97,6 +97,10 @@ def test_ivf(spark, monkeypatch):
     full = {(r["q_id"], r["chunk_id"], r["rank"]) for r in knn_ivf(indexed, centroids, q, k=5, nprobe=len(centroids)).collect()}
     some = {(r["q_id"], r["chunk_id"]) for r in knn_ivf(indexed, centroids, q, k=5, nprobe=6).collect()}
     assert full == exact and len(some & {e[:2] for e in exact}) >= 0.8 * len(exact)
+    enough = probes_for(df, centroids, k=5)
+    told = {(r["q_id"], r["chunk_id"]) for r in knn_ivf(indexed, centroids, q, k=5, nprobe=enough).collect()}
+    assert 1 <= enough <= len(centroids) and len(told & {e[:2] for e in exact}) >= 0.9 * len(exact)
+    assert probes_for(df.limit(0), centroids) == len(centroids)
     assert ivf_lists(623) == (62, 32) and ivf_lists(100) == (1, 1) and ivf_lists(5000) == (100, 32)
     with pytest.raises(ValueError):
         ivf_lists(0)

@@ -152,10 +152,7 @@ def build_ivf(rows: DataFrame, key: str = "chunk_id", vector: str = "embedding",
     lists, _ = ivf_lists(n, nlist)
     if lists == 1:
         return rows.withColumn("list_id", F.lit(0)), [np.zeros(len(rows.first()[vector]))]
-    low = F.pmod(F.xxhash64(key), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, 1.5 * sample / n))
-    usable = rows.select(key, F.col(vector).cast("array<double>").alias("_v")).where("_v is not null and size(_v) > 0").where(low)
-    chosen = usable.orderBy(F.xxhash64(key)).limit(sample).collect()
-    centroids = _lloyd(_unit([r["_v"] for r in sorted(chosen, key=lambda r: r[key])], len(chosen[0]["_v"])), lists, seed)
+    centroids = _lloyd(_sampled(rows, n, key, vector, sample), lists, seed)
     known = rows.sparkSession.sparkContext.broadcast(centroids)
 
     @F.pandas_udf("int")
@@ -166,6 +163,38 @@ def build_ivf(rows: DataFrame, key: str = "chunk_id", vector: str = "embedding",
     return rows.withColumn("list_id", nearest(F.col(vector))), list(centroids)
 
 
+def _sampled(rows: DataFrame, n: int, key: str, vector: str, sample: int) -> np.ndarray:
+    """Unit vectors of at most `sample` rows chosen by a hash of the key, in order of key; a bound on the hash keeps what is sorted and sent small."""
+    low = F.pmod(F.xxhash64(key), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, 1.5 * sample / max(1, n)))
+    usable = rows.select(key, F.col(vector).cast("array<double>").alias("_v")).where("_v is not null and size(_v) > 0 and not exists(_v, x -> x is null)").where(low)
+    chosen = sorted(usable.orderBy(F.xxhash64(key)).limit(sample).collect(), key=lambda r: r[key])
+    dim = len(chosen[0]["_v"]) if chosen else 1
+    return _unit([r["_v"] for r in chosen if len(r["_v"]) == dim], dim)
+
+
+def probes_for(
+    rows: DataFrame, centroids: list[np.ndarray], k: int = 30, share: float = 0.95, key: str = "chunk_id", vector: str = "embedding", sample: int = 20_000, pilot: int = 1000
+) -> int:
+    """How many lists a query must probe to meet `share` of its k nearest, as a pilot of a bounded sample tells.
+
+    Neighbours within the sample lie farther than those among all rows, so that the number errs towards more lists.
+    """
+    x, c = _sampled(rows, rows.count(), key, vector, sample), np.asarray(centroids, dtype=np.float64)
+    if len(x) < 2 or x.shape[1] != c.shape[1]:
+        return len(c)
+    cost = (c * c).sum(axis=1) - 2 * x @ c.T
+    own, ranks = cost.argmin(axis=1), []
+    asked = np.random.default_rng(7).permutation(len(x))[:pilot]
+    for a in range(0, len(asked), 500):
+        part = asked[a : a + 500]
+        near = x[part] @ x.T
+        near[np.arange(len(part)), part] = -2
+        top = np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
+        mine = np.take_along_axis(cost[part], own[top], axis=1)
+        ranks.append((cost[part][:, None, :] < mine[:, :, None]).sum(axis=2).ravel())
+    return int(np.quantile(np.concatenate(ranks), share, method="higher")) + 1
+
+
 def _lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarray:
     """k-means on the sample; a centroid without members stays where it is."""
     c = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)].copy()
