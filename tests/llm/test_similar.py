@@ -1,5 +1,7 @@
 """Most similar vectors against brute force."""
 
+import time
+
 import numpy as np
 
 from vellum.llm import similar
@@ -131,3 +133,54 @@ def test_words_without_vectors_are_placed_anew():
     c = kmeans(x, 400, 10, 1)
     near = (x @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)
     assert len(np.unique(near)) > 300
+
+
+def shuffled(spark):
+    """Bytes that all tasks so far have written for shuffles."""
+    time.sleep(0.3)  # executors' sums are brought up to date by later tasks, not at once
+    spark.range(8).repartition(2).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    seen = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(seen.apply(i).totalShuffleWrite() for i in range(seen.size()))
+
+
+def test_what_is_shuffled_does_not_follow_the_cells(spark):
+    x = np.random.default_rng(3).normal(size=(6000, 64)).astype(np.float32)
+    df = frame(spark, range(len(x)), x)
+    before = shuffled(spark)
+    similar.similar_vectors(df, "chunk_uid", "embedding", 5, 0.85, cell_size=25, meet=1.0).count()  # all of 240 cells
+    assert shuffled(spark) - before < 14 * x.nbytes
+
+
+def test_blocks_that_end_anywhere_in_a_batch_are_met_whole(spark, monkeypatch):
+    monkeypatch.setattr(similar, "ITEMS", 40)
+    monkeypatch.setattr(similar, "ASKED", 100)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert recall(spark, dense_third(), 5, 0.85, cell_size=50, meet=1.0) == (1.0, 1.0)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_groups_hold_all_cells_looked_into():
+    x = data(1200).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    known = similar.Cells(AdditiveQuantizer.fit(x, (48, 4, 8)), 2)
+    known.probes[:] = 20
+    known.gather(6)
+    assert len(set(known.group.tolist())) <= 6
+    for own, cells in zip(known.own(x), known.nearest(x)):
+        groups, lists = known.by_group(cells)
+        assert len(set(groups)) == len(groups) <= 6 and lists[0][0] == own
+        assert sorted(c for part in lists for c in part) == sorted(cells.tolist())
+        assert all(known.group[c // 4] == g for g, part in zip(groups, lists) for c in part)
+
+
+def test_zeros_of_either_sign_are_the_same_in_copies(spark):
+    x = data(300)
+    x[:6] = x[0]
+    x[:6, 7] = [0.0, -0.0, 0.0, -0.0, 0.0, 0.0]
+    rows = similar.similar_vectors(frame(spark, range(len(x)), x), "chunk_uid", "embedding", 5, 0.999).collect()
+    got = {(r["uid"], r["other"]) for r in rows}
+    assert {(a, b) for a in range(6) for b in range(6) if a != b} <= got

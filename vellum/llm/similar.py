@@ -3,11 +3,16 @@
 The first book's words make the cells (a second book divides them where there are many vectors), and every vector looks into the cells
 nearest to it. How many depends on where it lies: a pilot of the sample tells, region by region, how many cells it takes to meet a
 given share of the neighbours. Within a cell nothing is lost: a code's own error bounds what an exact cosine can be.
+
+Cells that lie together make a group, which a task holds as a whole while the vectors that look into it pass by. A vector is sent once
+to each group, however many of its cells it looks into, so that what is shuffled follows the groups and not the cells.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.llm.additive import AdditiveQuantizer
+from vellum.llm.additive import AdditiveQuantizer, kmeans
 from vellum.llm.common import map_batches, stored
 
 #: Vectors the codebooks are fitted on at most, vectors a cell holds on average, words of the first book at most, further books.
@@ -24,8 +29,10 @@ SAMPLE, CELL_SIZE, CELLS, BOOKS = 20_000, 2000, 1024, 5
 MEET, PILOT, POOL = 0.95, 4000, 40
 #: Words of the first book whose cells are put in order where a second book divides them; words of the second book at most.
 FRONT, SECOND = 64, 256
-#: Items and queries that meet in one task at most.
-ITEMS, ASKED = 4000, 16_000
+#: Items that a block holds and queries that pass by it at most, and groups of cells there are at least (so that many tasks can share the work).
+ITEMS, ASKED, GROUPS = 200_000, 1_000_000, 24
+#: Queries gathered before they meet a block, and items of a cell that meet them in one matrix.
+GATHERED, TILE = 16_000, 4000
 #: What rounding a query to 16 bits may change a cosine by.
 ROUNDING = 0.001
 
@@ -40,11 +47,25 @@ def usable(df: DataFrame, key: str, vector: str, dim_column: str | None, dim: in
 
 
 class Cells:
-    """A quantizer whose first `depth` books make the cells, and the cells to look into by word of the first book."""
+    """A quantizer whose first `depth` books make the cells; by word of the first book, the number of cells to look into and the group its cells are in."""
 
     def __init__(self, quantizer: AdditiveQuantizer, depth: int) -> None:
         self.quantizer, self.depth = quantizer, depth
         self.probes = np.ones(len(quantizer.books[0]), dtype=np.int64)
+        self.group = np.zeros(len(quantizer.books[0]), dtype=np.int64)
+
+    def gather(self, groups: int, seed: int = 7) -> None:
+        """Put words of the first book that lie together into one of so many groups at most."""
+        words = self.quantizer.books[0]
+        c = kmeans(words, min(groups, len(words)), 20, seed)
+        self.group = (words @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)
+
+    def by_group(self, cells: np.ndarray) -> tuple[list[int], list[list[int]]]:
+        """The groups that some cells are in, and the cells in each; the first cell's group and the first cell come first."""
+        parts: dict[int, list[int]] = {}
+        for g, c in zip(self.group[cells // (self.number // len(self.group))].tolist(), cells.tolist()):
+            parts.setdefault(g, []).append(c)
+        return list(parts), list(parts.values())
 
     @property
     def number(self) -> int:
@@ -156,11 +177,12 @@ def fit(vectors: DataFrame, n: int, k: int, least: float | None, sample: int = S
     second = (min(SECOND, divide),) if divide > 1 else ()
     out = Cells(AdditiveQuantizer.fit(x, (first, *second, *(min(256, max(1, len(x) // 4)),) * books)), 1 + len(second))
     out.settle(x, k, least, meet)
+    out.gather(max(GROUPS, math.ceil(2 * n / ITEMS)))
     return out
 
 
 def _encoded(vectors: DataFrame, known: Cells) -> DataFrame:
-    """(uid, unit, codes, norm, fit, half, cells): unit vector, its code, that sum's norm and cosine to it, the vector in 16 bits, its cells."""
+    """(uid, item, half, groups, cells): unit vector, code, its sum's norm and cosine to the vector in one; the vector in 16 bits; groups looked into and cells in each."""
     shared = vectors.sparkSession.sparkContext.broadcast(known)
 
     def encode(cols: dict[str, list]) -> dict[str, list]:
@@ -169,12 +191,19 @@ def _encoded(vectors: DataFrame, known: Cells) -> DataFrame:
         x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
         codes, norms = q.encode(x)
         near = (x * q.decode(codes)).sum(axis=1) / np.sqrt(np.maximum(norms, 1e-12))
+        item = np.zeros(len(x), dtype=_item(x.shape[1], len(q.books)))
+        item["unit"], item["codes"], item["norm"], item["fit"] = x, codes, norms, near
+        looks = [shared.value.by_group(c) for c in shared.value.nearest(x)]
         return {
-            "uid": cols["uid"], "unit": [r.tobytes() for r in x], "codes": [r.tobytes() for r in codes.astype(np.uint16)], "norm": norms.tolist(), "fit": near.tolist(),
-            "half": [r.tobytes() for r in x.astype(np.float16)], "cells": [c.tolist() for c in shared.value.nearest(x)],
+            "uid": cols["uid"], "item": [r.tobytes() for r in item], "half": [r.tobytes() for r in x.astype(np.float16)], "groups": [g for g, _ in looks], "cells": [c for _, c in looks],
         }
 
-    return map_batches(vectors, encode, "uid long, unit binary, codes binary, norm float, fit float, half binary, cells array<int>")
+    return map_batches(vectors, encode, "uid long, item binary, half binary, groups array<int>, cells array<array<int>>")
+
+
+def _item(dim: int, books: int) -> np.dtype:
+    """An item's bytes, its unit vector first."""
+    return np.dtype([("unit", np.float32, (dim,)), ("codes", np.uint16, (books,)), ("norm", np.float32), ("fit", np.float32)])
 
 
 def best_of_block(q: AdditiveQuantizer, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, fits: np.ndarray, asked: np.ndarray, y: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,23 +253,121 @@ def best_of_block(q: AdditiveQuantizer, ids: np.ndarray, x: np.ndarray, codes: n
     return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
-def _meet(q: AdditiveQuantizer, least: float | None, k: int):  # noqa: ANN202
-    """The function that meets one block of items and one of queries."""
+def _read(column: pa.ChunkedArray, kind: np.dtype | type) -> np.ndarray:
+    """The bytes of all rows of a binary column, one after the other."""
+    parts = []
+    for c in column.chunks:
+        _, ends, data = c.buffers()
+        at = np.frombuffer(ends, dtype=np.int32)[c.offset : c.offset + len(c) + 1]
+        parts.append(np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]])
+    return np.concatenate(parts).view(kind)
+
+
+class _Block:
+    """Items of one block by cell, and the queries gathered for it."""
+
+    def __init__(self, q: AdditiveQuantizer, least: float | None, k: int) -> None:
+        self.q, self.least, self.k = q, least, k
+        self.items: list[pa.RecordBatch] = []
+        self.queries: list[pa.RecordBatch] = []
+        self.waiting = 0
+        self.ids: np.ndarray | None = None
+
+    def add(self, rows: pa.RecordBatch, asking: bool) -> None:
+        (self.queries if asking else self.items).append(rows)
+        self.waiting += rows.num_rows * asking
+
+    def settle(self) -> None:
+        """Put the items in the order of their cells."""
+        t = pa.Table.from_batches(self.items)
+        cell = t["cells"].combine_chunks().flatten().to_numpy()
+        order = cell.argsort(kind="stable")
+        held = _read(t["data"], _item(self.q.words.shape[1], len(self.q.books)))[order]
+        self.ids = t["uid"].to_numpy()[order]
+        self.unit, self.codes, self.norm, self.fit = (np.ascontiguousarray(held[n]) for n in ("unit", "codes", "norm", "fit"))
+        self.cells, self.begin = np.unique(cell[order], return_index=True)
+        self.end = np.append(self.begin[1:], len(order))
+        self.items = []
+
+    def meet(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, item, cosine within ROUNDING) of the queries gathered, which are then done with."""
+        if self.waiting and (self.items or self.ids is not None):
+            if self.ids is None:
+                self.settle()
+            t = pa.Table.from_batches(self.queries)
+            asked = t["uid"].to_numpy()
+            y = _read(t["data"], np.float16).reshape(len(asked), -1).astype(np.float32)
+            y /= np.linalg.norm(y, axis=1, keepdims=True)
+            lists = t["cells"].combine_chunks()
+            cell, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(asked)), lists.value_lengths().to_numpy())
+            order = cell.argsort(kind="stable")
+            cell, of = cell[order], of[order]
+            for c, first, last in zip(self.cells, self.begin, self.end):
+                mine = of[np.searchsorted(cell, c) : np.searchsorted(cell, c, side="right")]
+                for a in range(first, last, TILE) if len(mine) else ():
+                    s = slice(a, min(a + TILE, last))
+                    yield best_of_block(self.q, self.ids[s], self.unit[s], self.codes[s].astype(np.int64), self.norm[s], self.fit[s], asked[mine], y[mine], self.k, self.least)
+        self.queries, self.waiting = [], 0
 
-    def meet(_: tuple, items: pa.Table, queries: pa.Table) -> pa.Table:
-        out = pa.schema([("uid", pa.int64()), ("other", pa.int64()), ("near", pa.float32())])
-        if not items.num_rows or not queries.num_rows:
-            return out.empty_table()
-        read = lambda t, name, kind: np.frombuffer(b"".join(t[name].to_pylist()), dtype=kind).reshape(t.num_rows, -1)
-        y = read(queries, "half", np.float16).astype(np.float32)
-        y /= np.linalg.norm(y, axis=1, keepdims=True)
-        got = best_of_block(
-            q, items["uid"].to_numpy(), read(items, "unit", np.float32), read(items, "codes", np.uint16).astype(np.int64), items["norm"].to_numpy(), items["fit"].to_numpy(),
-            queries["asks"].to_numpy(), y, k, least,
-        )
-        return pa.table([pa.array(g, f.type) for g, f in zip(got, out)], schema=out)
 
-    return meet
+def _meet(q: AdditiveQuantizer, least: float | None, k: int):  # noqa: ANN202
+    """The function that meets the blocks of a partition, which come one after the other, the items of each before its queries."""
+    out = pa.schema([("uid", pa.int64()), ("other", pa.int64()), ("near", pa.float32())])
+
+    def found(block: _Block) -> Iterator[pa.RecordBatch]:
+        for got in block.meet():
+            if len(got[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(g, f.type) for g, f in zip(got, out)], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, number = _Block(q, least, k), None
+        for b in batches:
+            numbers, asking = b.column("block").to_numpy(), b.column("asking").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(numbers) != 0) | (asking[1:] != asking[:-1])) + 1
+            for first, last in zip([0, *cuts], [*cuts, b.num_rows]):
+                if first == last:
+                    continue
+                if numbers[first] != number:
+                    yield from found(block)
+                    block, number = _Block(q, least, k), numbers[first]
+                block.add(b.slice(first, last - first), bool(asking[first]))
+                if block.waiting >= GATHERED:
+                    yield from found(block)
+        yield from found(block)
+
+    return run
+
+
+def _blocks(encoded: DataFrame) -> tuple[DataFrame, int]:
+    """(block, place, asking, uid, data, cells): each item in a block of its group, then the queries that look into it; and how many places there are.
+
+    A group of more than ITEMS makes several blocks by items, one of more than ASKED queries several by queries. Blocks go to places so
+    that these have about the same work; a row for each group (at most CELLS) comes to the driver for this.
+    """
+    spark = encoded.sparkSession
+    asked = encoded.select(F.posexplode("groups").alias("nth", "g")).groupBy("g")
+    sizes = asked.agg(F.count_if(F.col("nth") == 0).alias("held"), F.count(F.lit(1)).alias("asked")).where("held > 0").collect()
+    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, work = [], []
+    for r in sorted(sizes, key=lambda r: r["g"]):
+        bi, bq = math.ceil(r["held"] / ITEMS), math.ceil(r["asked"] / ASKED)
+        rows.append((r["g"], len(work), bi, bq))
+        work += [(r["held"] / bi + 1) * (r["asked"] / bq + 1)] * (bi * bq)
+    full, place = [(0.0, p) for p in range(places)], [0] * len(work)
+    for b in sorted(range(len(work)), key=lambda b: -work[b]):
+        so_far, p = heapq.heappop(full)
+        place[b] = p
+        heapq.heappush(full, (so_far + work[b], p))
+    rows = [(g, start, bi, bq, place[start : start + bi * bq]) for g, start, bi, bq in rows]
+    known = F.broadcast(spark.createDataFrame(rows, "g int, start int, bi int, bq int, place array<int>"))
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    mine = lambda blocks: F.pmod(F.xxhash64("uid"), F.col(blocks)).cast("int")
+    items = encoded.select("uid", F.col("item").alias("data"), F.col("groups")[0].alias("g"), F.array(F.col("cells")[0][0]).alias("cells")).join(known, "g")
+    items = items.select("*", mine("bi").alias("i"), each("bq").alias("j"), F.lit(False).alias("asking"))
+    looks = encoded.select("uid", F.col("half").alias("data"), F.explode(F.arrays_zip("groups", "cells")).alias("look")).select("uid", "data", "look.groups", "look.cells")
+    asking = looks.withColumnRenamed("groups", "g").select("uid", "data", "g", "cells").join(known, "g").select("g", "uid", "data", "cells", "start", "bi", "bq", "place", each("bi").alias("i"), mine("bq").alias("j"), F.lit(True).alias("asking"))
+    at = F.col("i") * F.col("bq") + F.col("j")
+    return items.unionByName(asking).select((F.col("start") + at).alias("block"), F.col("place")[at].alias("place"), "asking", "uid", "data", "cells"), places
 
 
 def similar_vectors(
@@ -257,31 +384,25 @@ def similar_vectors(
     pair found from either side counts for both. meet=1 looks into all cells and is exact, its time square in the vectors. All else is
     exact as well: cells have no cap, those of many vectors meet block by block.
     """
-    vectors = usable(df, key, vector, dim_column, dim).distinct()
-    classes = stored(vectors.groupBy("v").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies")), "vectors")
-    members = vectors.join(classes.where("copies > 1").select("v", F.col("uid").alias("rep")), "v").select("rep", "uid")
+    vectors = usable(df, key, vector, dim_column, dim)
+    classes = stored(vectors.groupBy("v").agg(F.min("uid").alias("uid"), (F.max("uid") > F.min("uid")).alias("several")), "vectors")
+    # Copies are told by 128 bits of two hashes, so that no vector is moved for it.
+    digest = lambda df, key: df.select(key, F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    copied = digest(classes.where("several").select(F.col("uid").alias("rep"), "v"), "rep")
+    members = digest(vectors, "uid").join(copied, ["h", "h2"]).select("rep", "uid").distinct()
     n = classes.count()
     if n == 0:
         return df.sparkSession.createDataFrame([], "uid long, other long, rank int, cosine double")
     known = fit(classes, n, k, least, sample, cells, cell_size, BOOKS, meet)
     encoded = stored(_encoded(classes.select("uid", "v"), known), "codes")
-
-    # How many blocks of items and of queries each cell has: a row per cell, so at most CELLS * SECOND rows.
-    looks = encoded.select("uid", "half", F.posexplode("cells").alias("nth", "cell"))
-    sizes = encoded.select(F.posexplode("cells").alias("nth", "cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("asked"), F.count_if(F.col("nth") == 0).alias("held"))
-    sizes = F.broadcast(sizes.where("held > 0").select("cell", F.ceil(F.col("held") / ITEMS).cast("int").alias("bi"), F.ceil(F.col("asked") / ASKED).cast("int").alias("bq")))
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    mine = lambda blocks: F.pmod(F.xxhash64("uid"), F.col(blocks)).cast("int")
-    items = encoded.select("uid", "unit", "codes", "norm", "fit", F.col("cells")[0].alias("cell")).join(sizes, "cell")
-    items = items.select("uid", "unit", "codes", "norm", "fit", "cell", mine("bi").alias("i"), each("bq").alias("j"))
-    asking = looks.join(sizes, "cell").select(F.col("uid").alias("asks"), "half", "cell", mine("bq").alias("j"), each("bi").alias("i"))
-    met = items.groupBy("cell", "i", "j").cogroup(asking.groupBy("cell", "i", "j")).applyInArrow(_meet(known.quantizer, least, k), "uid long, other long, near float")
+    blocks, places = _blocks(encoded)
+    met = blocks.repartitionById(places, "place").drop("place").sortWithinPartitions("block", "asking").mapInArrow(_meet(known.quantizer, least, k), "uid long, other long, near float")
 
     # The k best over all cells, as far as rounded cosines can tell; a pair that one of the two found counts for both.
     by = W.partitionBy("uid")
     met = met.withColumn("r", F.row_number().over(by.orderBy(F.desc("near"), "other"))).withColumn("kth", F.max(F.when(F.col("r") == k, F.col("near"))).over(by))
     met = met.where(F.coalesce(F.col("near") >= F.col("kth") - 2 * ROUNDING, F.lit(True))).select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct()
-    unit = encoded.select("uid", "unit")
+    unit = encoded.select("uid", F.substring("item", 1, 4 * dim).alias("unit"))
     pairs = met.join(unit.withColumnsRenamed({"uid": "a", "unit": "ua"}), "a").join(unit.withColumnsRenamed({"uid": "b", "unit": "ub"}), "b")
     exact = map_batches(pairs, _cosines, "a long, b long, cosine double")
     if least is not None:
@@ -292,7 +413,7 @@ def similar_vectors(
 
     # Copies: the first k + 1 of a class stand for it as neighbours.
     lead = members.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("uid"))).where(F.col("r") <= k + 1).select(F.col("rep").alias("to"), F.col("uid").alias("other"))
-    single = classes.where("copies = 1").select(F.col("uid").alias("rep"))
+    single = classes.where("not several").select(F.col("uid").alias("rep"))
     own = members.select("rep").distinct().select("rep", F.col("rep").alias("to"), F.lit(1.0).alias("cosine"))
     targets = near.union(own).join(lead, "to", "left").select("rep", F.coalesce("other", "to").alias("other"), "cosine")
     everyone = members.union(single.select("rep", F.col("rep").alias("uid")))
